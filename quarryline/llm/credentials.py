@@ -224,7 +224,7 @@ def _in_line(text: str, start: int, end: int, kind: str, parsed: bool) -> list[t
         for m in _SAID.finditer(text, start, end):
             value = m.group("value").rstrip(".,;:)")
             name = plain(m.group("name"))
-            if (name in ("pw", "pass", "key", "token") or _NAME.search(name)) and not stands_in(value) and strong(value) and re.search("[0-9]", value):
+            if (name in ("pw", "pass", "key", "token") or _NAME.search(name)) and not stands_in(value) and strong(value) and (name not in ("key", "token") or re.search("[0-9]", value)):
                 got.append((m.start("value"), [(m.start("value"), m.start("value") + len(value))]))
     return got
 

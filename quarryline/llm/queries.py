@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.common import table
-from quarryline.llm import credentials
+from quarryline.llm import credentials, packing
 
 
 def _credential_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -22,5 +22,15 @@ def p4_redacted(spark: SparkSession, base: str) -> DataFrame:
     return credentials.redacted(_credential_texts(spark, base))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted)}
+def p7_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Container of every document."""
+    return packing.packed(table(spark, base, "documents"))
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How full and how even the containers are."""
+    return packing.fill_report(p7_packed(spark, base))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill)}
 ORACLE: dict[str, str] = {}
