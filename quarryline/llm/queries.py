@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.common import table
-from quarryline.llm import credentials, packing
+from quarryline.llm import credentials, leakage, packing
 
 
 def _credential_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -32,5 +32,15 @@ def p7_fill(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_report(p7_packed(spark, base))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill)}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that hold an evaluation item for the larger part."""
+    return leakage.leaked(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p8_items(spark: SparkSession, base: str) -> DataFrame:
+    """Number of documents that hold each evaluation item."""
+    return leakage.leaks_per_item(p8_found(spark, base), table(spark, base, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items)}
 ORACLE: dict[str, str] = {}
