@@ -112,13 +112,13 @@ def _pieces(docs: DataFrame, capacity: int, vocabulary: str) -> DataFrame:
 
 def _packed_again(pieces: DataFrame, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), schema=_ARROW).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        got = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=_ARROW) for b in batches], schema=_ARROW).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
         if got.num_rows:
             first = (1 << 62) | (TaskContext.get().partitionId() << 32)
             doc, piece, size = (got.column(c).to_numpy() for c in ("doc_id", "piece", "n_tokens"))
             yield _batch(doc, piece, size, pack(size.astype(np.int64), capacity) + first, capacity)
 
-    return pieces.mapInArrow(run, SCHEMA)
+    return pieces.select(*_ARROW.names).mapInArrow(run, SCHEMA)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, repack_below: float = REPACK_BELOW) -> DataFrame:
@@ -133,8 +133,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     # blocks of bounded size again: the rest of a block is a small share of it
     tasks = max(1, -(-loose.count() // BLOCK_ROWS))
     again = _packed_again(loose.repartition(tasks, "container"), capacity)
-    columns = ["doc_id", "piece", "n_tokens", "container", "cost"]
-    return first.join(fill.select("container"), "container", "left_anti").select(*columns).unionByName(again.select(*columns))
+    return first.join(fill.select("container"), "container", "left_anti").select(*_ARROW.names).unionByName(again)
 
 
 def fill_report(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.common import table
-from quarryline.llm import credentials, leakage, packing
+from quarryline.llm import credentials, leakage, packing, spam
 
 
 def _credential_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -42,5 +42,15 @@ def p8_items(spark: SparkSession, base: str) -> DataFrame:
     return leakage.leaks_per_item(p8_found(spark, base), table(spark, base, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items)}
+def p9_kinds(spark: SparkSession, base: str) -> DataFrame:
+    """Documents made of links, tags, stuffed keywords or word salad, with the kind."""
+    return spam.spam_pages(table(spark, base, "documents"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents made to attract searches: keywords, links or tags in place of sentences."""
+    return p9_kinds(spark, base).where("kind != 'salad'").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
 ORACLE: dict[str, str] = {}
