@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.common import table
-from quarryline.llm import credentials, leakage, packing, spam
+from quarryline.llm import credentials, leakage, packing, spam, syntax
+
+
+def _judged(spark: SparkSession, base: str) -> DataFrame:
+    return syntax.judged(table(spark, base, "files"), table(spark, base, "file_text"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Files whose text is not valid in the language of their extension."""
+    return _judged(spark, base).where("not ok").select("file_id").distinct()
+
+
+def p3_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Share of invalid files per repository and language."""
+    return syntax.rates(_judged(spark, base))
 
 
 def _credential_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -52,5 +66,5 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return p9_kinds(spark, base).where("kind != 'salad'").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
 ORACLE: dict[str, str] = {}
