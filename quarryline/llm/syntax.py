@@ -216,17 +216,20 @@ class Script(Folder):
         pieces = [x + self.semi for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
         if all(ok(rule, x) for x in pieces):
             return True
-        # a statement may go on after its semicolon (else, while)
-        open_ = ""
-        for x in pieces:
-            open_ += x
-            if ok(rule, open_) and not ok(rule, x):
-                open_ = ""
-            elif ok(rule, x):
-                open_ = x
-            elif len(open_) > 400:
-                return False
-        return not open_ or ok(rule, open_)
+        # a statement may go on after its semicolon (else, while): what isn't one by itself joins the one before
+        last = pending = ""
+        for k, x in enumerate(pieces):
+            if not pending and ok(rule, x):
+                last = x
+                continue
+            pending += x
+            if ok(rule, pending):
+                last, pending = pending, ""
+            elif ok(rule, last + pending):
+                last, pending = last + pending, ""
+            elif pending.count(self.semi) > 8:
+                return ok(rule, last + pending + "".join(pieces[k + 1 :]))
+        return not pending
 
     def scan(self, text: str, at: int, closer: str) -> tuple[str, int]:
         """Tokens from ``at`` up to the closing bracket ("" for the text's end), groups folded; and where they end."""
