@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.common import table
-from quarryline.llm import credentials, leakage, packing, spam, syntax
+from quarryline.llm import credentials, leakage, packing, provenance, spam, syntax
+
+
+def p1_kinds(spark: SparkSession, base: str) -> DataFrame:
+    """Files that nobody wrote by hand in their repository, with the reason."""
+    return provenance.not_hand_written(table(spark, base, "files"), table(spark, base, "file_text"))
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Files that nobody wrote by hand in their repository."""
+    return p1_kinds(spark, base).select("file_id")
+
+
+def p1_subtrees(spark: SparkSession, base: str) -> DataFrame:
+    """Folders that are alike in several repositories."""
+    return provenance.shared_subtrees(table(spark, base, "files"), table(spark, base, "file_text"))
 
 
 def _judged(spark: SparkSession, base: str) -> DataFrame:
@@ -66,5 +81,5 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return p9_kinds(spark, base).where("kind != 'salad'").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rates, p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_subtrees, p3_found, p3_rates, p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
 ORACLE: dict[str, str] = {}
