@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarryline.common import norm_path, table
 from quarryline.functions import text
-from quarryline.operators import graph, indexing, lifecycle, membership, retrieval, revisions
+from quarryline.operators import extract, graph, indexing, lifecycle, membership, retrieval, revisions
 from quarryline.plans.general import _npath
+from quarryline.streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -481,3 +482,43 @@ def doctor(spark: SparkSession, base: str) -> DataFrame:
     )
     level = F.when(F.col("n") == 0, "ok").when(F.col("name") == "newer schema", "error").otherwise("warn")
     return rows.withColumn("level", level)
+
+
+# ------------------------------------------------------------------ extraction and streams
+def _texts(spark: SparkSession, base: str) -> DataFrame:
+    t = Tables(spark, base)
+    return extract.with_paths(t.files, t.file_text)
+
+
+@query(None)
+def python_symbols(spark: SparkSession, base: str) -> DataFrame:
+    return extract.python_symbols(_texts(spark, base)).select("file_id", "symbol_id", "name", "qualified_name", "kind", "status", "start_line", "end_line")
+
+
+@query(None)
+def script_symbols(spark: SparkSession, base: str) -> DataFrame:
+    return extract.script_symbols(_texts(spark, base)).select("file_id", "name", "kind", "start_line")
+
+
+_SCRIPT_RX = r"""(?m)^\s*(?:import|export)\s[^''"\n;]*?[''"]([^''"\n]+)[''"]|\brequire\(\s*[''"]([^''"\n]+)[''"]\s*\)"""
+_LISTED = f"lt AS (SELECT t.file_id, f.path, t.content FROM file_text t JOIN (SELECT file_id, {_npath('min(path)')} path FROM files GROUP BY file_id) f USING (file_id) WHERE t.content IS NOT NULL)"
+
+
+@query(f"""WITH {_LISTED}, x AS (SELECT file_id, unnest(regexp_extract_all(content, '{_SCRIPT_RX}', 1) || regexp_extract_all(content, '{_SCRIPT_RX}', 2)) module FROM lt
+WHERE regexp_matches(path, '\\.(js|jsx|mjs|cjs|ts|tsx)$')) SELECT file_id, module FROM x WHERE module <> ''""")
+def import_extract(spark: SparkSession, base: str) -> DataFrame:
+    return extract.script_imports(_texts(spark, base)).select("file_id", "module")
+
+
+@query(None)
+def import_resolution(spark: SparkSession, base: str) -> DataFrame:
+    texts = _texts(spark, base)
+    imports = extract.script_imports(texts).unionByName(extract.python_imports(texts))
+    return extract.resolved_imports(imports, Tables(spark, base).files).select("file_id", "module", "target")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS user_id, event_id AS revision, event_type FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) k FROM events) WHERE k = 1""")
+def stream_current_state(spark: SparkSession, base: str) -> DataFrame:
+    as_feed = lambda d: d.withColumns({"user_id": F.col("user_id").cast("string"), "op": F.lit("update"), "revision": F.col("event_id")})
+    return feeds.streamed_state(spark, f"{base}/events.parquet", "user_id", "revision", "event_id", "op", ["event_type"], as_feed)
