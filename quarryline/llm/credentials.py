@@ -65,7 +65,7 @@ _SPLITS = [(n[: -len(e)], e) for n in NAMES.split("|") for e in ("key", "token",
 NEEDLES = sorted(
     {n for n in NAMES.split("|") if not n.endswith(("key", "token", "pass"))}
     | {a + sep + e for a, e in _SPLITS for sep in ("", "_", "-", " ", "$")}
-    | {f"{a}{w}{b}" for w in ("pw", "pass", "key", "token") for a in (" ", "(", "#", "/") for b in (" ", ":", "=", "->")}
+    | {f"{a}{w}{b}" for w in ("pw", "pass", "key", "token") for a in (" ", "(", "#", "/", "\n") for b in (" ", ":", "=", "->")}
     | {"akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxa", "xoxb", "xoxe", "xoxp", "xoxr", "xoxs"}
     | {" -u ", " -u=", "--user", "sk-", "aiza", "npm_", "eyj", "bearer ", "basic ", "authorization", "://", "connect(", "login(", "log_in(", "authenticate(", "auth(", "sign_in(", "signin("}
 )
@@ -83,7 +83,7 @@ def _anchors(text: str) -> Iterator[int]:
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return (at for at, _ in _AUTOMATON[0].iter(low))
+    return (max(0, at - 1) for at, _ in _AUTOMATON[0].iter("\n" + low))
 
 
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|\*|--|;)\s")

@@ -587,7 +587,7 @@ class Json(Folder):
 _TOML_TOKEN = re.compile(
     r"(?P<ws>[ \t]+)|(?P<comment>\#[^\n]*)|(?P<nl>\r?\n)|"
     r'''(?P<long>"""(?:[^\\"]|\\[\s\S]|"{1,2}(?!"))*"{3,5}|\'\'\'(?:[^']|'{1,2}(?!'))*'{3,5})|(?P<str>"(?:[^"\\\n\x00-\x08\x0a-\x1f]|\\(?:[btnfr"\\e]|u[\da-fA-F]{4}|U[\da-fA-F]{8}|x[\da-fA-F]{2}))*"|'[^'\n]*')|'''
-    r"(?P<word>[A-Za-z0-9_+.:-]+(?: \d\d:[\d:.Zz+-]+)?)|(?P<op>[=,])|(?P<open>[{\[])|(?P<close>[}\]])"
+    r"(?P<word>[A-Za-z0-9_+:-]+(?:\.[A-Za-z0-9_+:-]+)*(?: \d\d:[\d:.Zz+-]+)?)|(?P<op>[=,.])|(?P<open>[{\[])|(?P<close>[}\]])"
 )
 _TOML_NUMBER = re.compile(r"[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?|0x[\da-fA-F](?:_?[\da-fA-F])*|0o[0-7](?:_?[0-7])*|0b[01](?:_?[01])*|[+-]?(?:inf|nan)")
 _TOML_DATE = re.compile(r"\d{4}-\d\d-\d\d(?:[Tt ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:[Zz]|[+-]\d\d:\d\d)?)?|\d\d:\d\d(?::\d\d(?:\.\d+)?)?")
