@@ -166,7 +166,8 @@ def changed_between(snap: DataFrame, scans: DataFrame) -> DataFrame:
     where = F.col("pair") - F.when(F.col("up") < 0, 1).otherwise(0)
     named = changes.select("unit", "pair", where.alias("idx"), "p", kind.alias("change")).join(states.select("unit", "idx", "p", "path"), ["unit", "idx", "p"])
     labels = order.select("unit", F.col("idx").alias("pair"), "snapshot_no", "repo")
-    return named.join(labels, ["unit", "pair"]).select("snapshot_no", "repo", "path", "change")
+    # roots of one repository may overlap
+    return named.join(labels, ["unit", "pair"]).select("snapshot_no", "repo", "path", "change").distinct()
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     rows = rows.where(matches_globs("path", include or ["**"], exclude or []))
     return rows.select(
         "path", language_of("path").alias("language"), content_hash("content").alias("content_hash"), F.col("length").alias("size"),
-        F.unix_micros("modificationTime").cast("double").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.unix_micros("modificationTime").cast("double").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
     )
 
 
