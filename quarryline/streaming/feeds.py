@@ -44,12 +44,17 @@ def streamed_state(spark: SparkSession, path: str, key: str, revision: str, seq:
     return state_of(spark, f"{base}/patches", key, fields)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """The stream with its time in UTC (a watermark takes no time without a zone)."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_activations(stream: DataFrame, session: str, target: str, time: str, late: str = "1 hour") -> DataFrame:
     """Each (session, target) once, as a stream; the state of a pair is dropped once it can't come again in time."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([session, target])
+    return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([session, target])
 
 
 def activity_windows(stream: DataFrame, time: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n): rows per window and type; a window is final when the watermark has passed it."""
-    w = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    w = _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n")
