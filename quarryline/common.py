@@ -89,8 +89,8 @@ def norm_path(c: Column | str) -> Column:
 def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     """Keys that hold more than one ``share``-th of the rows of ``df``: never more than ``share`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    return counts.join(F.broadcast(total)).where((F.col("_n") > 1000) & (F.col("_n") * share > F.col("_t"))).select(*keys)
+    total = df.agg(F.count(F.lit(1)).alias("_t")).scalar()
+    return counts.where((F.col("_n") > 1000) & (F.col("_n") * share > total)).select(*keys)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = 200) -> DataFrame:
