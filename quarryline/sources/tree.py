@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,24 +25,60 @@ class UnusableCache(RuntimeError):
 
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """(path, language, content_hash, size, mtime, content) of the source files below a folder.
+    """(path, language, content_hash, size, mtime, content, readable) of the source files below a folder.
 
-    Only known extensions, no pruned folders; a file must be under an included glob and no excluded one. Files that
-    vanish or can't be read while Spark reads them are left out.
+    Only known extensions, no pruned folders; a file must be under an included glob and no excluded one. A file that
+    can't be read is a row without hash and content. The folder must be mounted on all executors; its subfolders are
+    walked by the tasks (Spark's own listing leaves out names that begin with an underscore, as ``__init__.py`` does).
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    raw = raw.option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in LANGUAGES) + "}").load(root)
-    path = F.regexp_replace("path", r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
-    rows = raw.withColumn("path", path).where(~F.col("path").rlike(r"(?:^|/)(?:" + "|".join(map(_quoted, PRUNED)) + r")/"))
+    entries = sorted(e.name for e in os.scandir(root) if e.name not in PRUNED)
+    starts = spark.createDataFrame([(e,) for e in entries], "start string").repartition(max(1, len(entries)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in b.column("start").to_pylist():
+                yield from _walked(root, start)
+
+    rows = starts.mapInArrow(run, "path string, size long, mtime double, bytes binary")
     rows = rows.where(matches_globs("path", include or ["**"], exclude or []))
     return rows.select(
-        "path", language_of("path").alias("language"), content_hash("content").alias("content_hash"), F.col("length").alias("size"),
-        F.unix_micros("modificationTime").cast("double").alias("mtime"), F.decode("content", "UTF-8").alias("content"),
+        "path", language_of("path").alias("language"), content_hash("bytes").alias("content_hash"), "size", "mtime",
+        F.decode("bytes", "UTF-8").alias("content"), F.col("bytes").isNotNull().alias("readable"),
     )
 
 
-def _quoted(s: str) -> str:
-    return "".join(f"\\{c}" if c in r"\.^$|?*+()[]{}" else c for c in s)
+def _walked(root: str, start: str, batch_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The source files below one entry of the root, in batches of bounded size."""
+    found: list[tuple] = []
+    held = 0
+
+    def full() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["path", "size", "mtime", "bytes"])
+
+    top = os.path.join(root, start)
+    walk = os.walk(top) if os.path.isdir(top) else [(root, [], [start])]
+    for folder, below, names in walk:
+        below[:] = sorted(d for d in below if d not in PRUNED)
+        for name in sorted(names):
+            if os.path.splitext(name)[1].lower() not in LANGUAGES:
+                continue
+            path = os.path.join(folder, name)
+            relative = os.path.relpath(path, root).replace(os.sep, "/")
+            try:
+                stat = os.stat(path)
+                with open(path, "rb") as f:
+                    data = f.read()
+                found.append((relative, stat.st_size, stat.st_mtime, data))
+                held += len(data)
+            except OSError:
+                found.append((relative, None, None, None))
+            if held > batch_bytes:
+                yield full()
+                found.clear()
+                held = 0
+    if found:
+        yield full()
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
