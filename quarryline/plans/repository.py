@@ -222,7 +222,10 @@ def dangling_members(spark: SparkSession, base: str) -> DataFrame:
     return membership.dangling(t.scopes, t.files, t.symbols)
 
 
-@query(None)
+_PART = "array_to_string(list_transform(list_sort(list_distinct(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL))), lambda x: '{1}' || x), '')"
+
+
+@query(f"""SELECT trim(id) AS scope, sha256(coalesce({_PART.format("members.files", "|f:")} || {_PART.format("members.symbols", "|s:")}, '')) AS digest FROM scopes WHERE removed_at IS NULL""")
 def membership_hash(spark: SparkSession, base: str) -> DataFrame:
     return membership.membership_hash(Tables(spark, base).scopes)
 
@@ -344,7 +347,10 @@ def path_groups(spark: SparkSession, base: str) -> DataFrame:
     return graph.folder_groups(Tables(spark, base).files)
 
 
-@query(None)
+@query(f"""WITH g AS (SELECT repo, split_part(path, '/', 1) folder FROM (SELECT DISTINCT repo, {_npath("path")} path FROM files) WHERE path LIKE '%/%' GROUP BY 1, 2 HAVING count(*) >= 2),
+b AS (SELECT *, trim(regexp_replace(lower(folder), '[^\\p{{L}}\\p{{N}}-]', '-', 'g'), '-') base FROM g), n AS (SELECT *, row_number() OVER (PARTITION BY repo, base ORDER BY folder) n FROM b)
+SELECT repo, folder, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id,
+array_to_string(list_transform(regexp_extract_all(folder, '\\p{{L}}+|[^\\p{{L}}]+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS name FROM n""")
 def scope_suggestions(spark: SparkSession, base: str) -> DataFrame:
     return graph.suggestions(graph.folder_groups(Tables(spark, base).files))
 
@@ -495,13 +501,20 @@ def python_symbols(spark: SparkSession, base: str) -> DataFrame:
     return extract.python_symbols(_texts(spark, base)).select("file_id", "symbol_id", "name", "qualified_name", "kind", "status", "start_line", "end_line")
 
 
-@query(None)
+_LISTED = f"lt AS (SELECT t.file_id, f.path, t.content FROM file_text t JOIN (SELECT file_id, {_npath('min(path)')} path FROM files GROUP BY file_id) f USING (file_id) WHERE t.content IS NOT NULL)"
+_DEFINES = r"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(class|function\*?|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)(.*)$"
+_ARROW = r"=\s*(?:async\s*)?(?:function\b|\([^)]*\)[^=]*=>|[\w$]+\s*=>)"
+
+
+@query(f"""WITH {_LISTED}, l AS (SELECT file_id, unnest(ls) line, generate_subscripts(ls, 1) k FROM (SELECT file_id, string_split_regex(content, '\r\n|\n|\r') ls FROM lt
+WHERE regexp_matches(path, '\\.(js|jsx|mjs|cjs|ts|tsx)$'))), d AS (SELECT *, regexp_extract(line, '{_DEFINES}', 1) w FROM l WHERE regexp_matches(line, '{_DEFINES}'))
+SELECT file_id, regexp_extract(line, '{_DEFINES}', 2) AS name, CASE WHEN w IN ('class', 'interface', 'type') THEN w WHEN w = 'enum' THEN 'type' WHEN w LIKE 'function%' THEN 'function'
+WHEN regexp_matches(regexp_extract(line, '{_DEFINES}', 3), '{_ARROW}') THEN 'function' WHEN w = 'const' THEN 'constant' ELSE 'variable' END AS kind, CAST(k AS INT) AS start_line FROM d""")
 def script_symbols(spark: SparkSession, base: str) -> DataFrame:
     return extract.script_symbols(_texts(spark, base)).select("file_id", "name", "kind", "start_line")
 
 
 _SCRIPT_RX = r"""(?m)^\s*(?:import|export)\s[^''"\n;]*?[''"]([^''"\n]+)[''"]|\brequire\(\s*[''"]([^''"\n]+)[''"]\s*\)"""
-_LISTED = f"lt AS (SELECT t.file_id, f.path, t.content FROM file_text t JOIN (SELECT file_id, {_npath('min(path)')} path FROM files GROUP BY file_id) f USING (file_id) WHERE t.content IS NOT NULL)"
 
 
 @query(f"""WITH {_LISTED}, x AS (SELECT file_id, unnest(regexp_extract_all(content, '{_SCRIPT_RX}', 1) || regexp_extract_all(content, '{_SCRIPT_RX}', 2)) module FROM lt
@@ -510,6 +523,15 @@ def import_extract(spark: SparkSession, base: str) -> DataFrame:
     return extract.script_imports(_texts(spark, base)).select("file_id", "module")
 
 
+_PYTHON_RX = r"(?m)^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([\w.]+))"
+
+
+@query(f"""WITH {_LISTED}, x AS (SELECT file_id, unnest(regexp_extract_all(content, '{_PYTHON_RX}', 1) || regexp_extract_all(content, '{_PYTHON_RX}', 2)) module FROM lt
+WHERE lower(path) LIKE '%.py') SELECT file_id, module FROM x WHERE module <> ''""")
+def python_import_extract(spark: SparkSession, base: str) -> DataFrame:
+    return extract.python_imports(_texts(spark, base)).select("file_id", "module")
+
+
 @query(None)
 def import_resolution(spark: SparkSession, base: str) -> DataFrame:
     texts = _texts(spark, base)
