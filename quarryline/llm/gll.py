@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 END, AHEAD = "$", "!"
-_KEPT = 200_000
+_KEPT = 80_000
 
 
 class Tokens:

@@ -38,6 +38,10 @@ PY_WORDS = (
 ).split()
 
 
+#: Folded groups that a task remembers for each language; beyond that it starts anew (a bound on memory, not on work).
+KEPT = 80_000
+
+
 class Rejected(Exception):
     """The text is invalid in every dialect."""
 
@@ -79,7 +83,7 @@ class Folder:
         key = (kind, content)
         got = self.folded.get(key)
         if got is None:
-            if len(self.folded) > 400_000:
+            if len(self.folded) > KEPT:
                 self.folded.clear()
             can = self.roles(kind, content)
             got = self.folded[key] = self.tokens.code(frozenset(can)) if can else ""
