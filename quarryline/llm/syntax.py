@@ -96,13 +96,13 @@ class Folder:
 
 
 _JS_TOKEN = re.compile(
-    r"""(?P<ws>[ \t\v\f\u00a0\ufeff]+)|(?P<nl>\r\n?|[\n\u2028\u2029])|(?P<comment>//[^\n\r]*)|(?P<block>/\*[\s\S]*?\*/)|"""
+    r"""[ \t\v\f\u00a0\ufeff]*(?:(?P<nl>\r\n?|[\n\u2028\u2029])|(?P<comment>//[^\n\r]*)|(?P<block>/\*[\s\S]*?\*/)|"""
     r"""(?P<id>[A-Za-z_$\u00aa-\u1fff\u2c00-\udfff\uf900-\ufdff\U00010000-\U0003ffff][\w$]*)|"""
     r"""(?P<num>0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:0|[1-9][\d_]*)n(?![\w$])|(?:(?:0|[1-9][\d_]*)(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?(?![\w$]))|"""
     r"""(?P<oct>0\d+(?![\w$.]))|(?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')|(?P<tick>`)|"""
     r"""(?P<private>\#[A-Za-z_$][\w$]*)|"""
     r"""(?P<op>>=|===|!==|\*\*=|<<=|\?\?=|&&=|\|\|=|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|\.\.\.|[-+*/%&|^!~?:=.,;@<>])|"""
-    r"""(?P<open>[({\[])|(?P<close>[)}\]])"""
+    r"""(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>$(?!\n)))"""
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
@@ -247,18 +247,21 @@ class Script(Folder):
             m = match(text, at)
             if m is None:
                 raise Rejected("character")
-            kind, start = m.lastgroup, at
-            at = m.end()
-            if kind == "ws" or kind == "comment":
+            kind = m.lastgroup
+            w, start, at = m.group(kind), m.start(kind), m.end()
+            if kind == "nl":
+                newline = True
                 continue
-            if kind == "nl" or kind == "block":
-                newline = newline or kind == "nl" or "\n" in m.group()
+            if kind == "comment":
                 continue
+            if kind == "block":
+                newline = newline or "\n" in w
+                continue
+            if kind == "end":
+                break
             if kind == "id":
-                w = m.group()
                 code = self.word.get(w, self.name) if prev != self.op["."] and prev != self.op["?."] else self.name
             elif kind == "op":
-                w = m.group()
                 if w[0] == "/" and not (prev in operands or ends_group):
                     r = _JS_REGEX.match(text, start)
                     if not r:
@@ -271,16 +274,15 @@ class Script(Folder):
                     if code is None:
                         raise Rejected(w)
             elif kind == "open":
-                w = m.group()
                 stack.append((w, out, prev))
                 out = []
                 braces = w == "{"
                 prev, newline, ends_group = "", False, False
                 continue
             elif kind == "close":
-                w = _PAIRS[m.group()]
+                shut, w = w, _PAIRS[w]
                 if not stack:
-                    if m.group() == closer:
+                    if shut == closer:
                         return "".join(out), at
                     raise Rejected("bracket")
                 opened, outer, before = stack.pop()
@@ -392,13 +394,13 @@ class Script(Folder):
 
 _PY_STRING = r"""(?:[rRbBfFuU]|[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF])?(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|"(?:[^"\\\n]|\\[\s\S])*"(?!")|'(?:[^'\\\n]|\\[\s\S])*'(?!')|""(?!")|''(?!'))"""
 _PY_TOKEN = re.compile(
-    r"(?P<ws>(?:[ \t\f]|\\\r?\n)+)|(?P<comment>\#[^\n]*)|(?P<nl>\r?\n|\r)|"
+    r"(?:[ \t\f]|\\\r?\n)*(?:(?P<comment>\#[^\n]*)|(?P<nl>\r?\n|\r)|"
     rf"(?P<str>{_PY_STRING})|"
     r"(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)[jJ]?|\d(?:_?\d)*\.[jJ]?|"
     r"\d(?:_?\d)*[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?![\w]))|"
     r"(?P<id>[^\W\d]\w*)|"
     r"(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|==|!=|<=|>=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|<<|>>|[-+*/%@&|^~<>.,;:=])|"
-    r"(?P<open>[({\[])|(?P<close>[)}\]])"
+    r"(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>$(?!\n)))"
 )
 _PY_BINARY = {"==", "!=", "<=", ">=", "//", "<<", ">>", "%", "&", "^", "<", ">"}
 #: What a logical line can be, and the label that the grammar of blocks knows it by.
@@ -487,11 +489,8 @@ class Python(Folder):
             m = match(text, at)
             if m is None:
                 raise Rejected("character")
-            kind, at = m.lastgroup, m.end()
-            if kind == "ws":
-                if fresh:
-                    column = len(m.group().expandtabs(8))
-                continue
+            kind = m.lastgroup
+            w, before, at = m.group(kind), at, m.end()
             if kind == "comment":
                 continue
             if kind == "nl":
@@ -499,22 +498,26 @@ class Python(Folder):
                     if line:
                         self._line(line, column, depth, blocks)
                         line = []
-                    fresh, column = True, 0
+                    fresh = True
                 continue
+            if kind == "end":
+                break
+            if fresh:
+                column = len(text[before : m.start(kind)].expandtabs(8))
             fresh = False
             if kind == "id":
-                line.append(word.get(m.group(), name))
+                line.append(word.get(w, name))
             elif kind == "op":
-                line.append(op[m.group()])
+                line.append(op[w])
             elif kind == "str":
                 line.append(self.str)
             elif kind == "num":
                 line.append(self.num)
             elif kind == "open":
-                stack.append((m.group(), line))
+                stack.append((w, line))
                 line = []
             else:
-                if not stack or stack[-1][0] != _PAIRS[m.group()]:
+                if not stack or stack[-1][0] != _PAIRS[w]:
                     raise Rejected("bracket")
                 opened, outer = stack.pop()
                 outer.append(self.fold(opened, "".join(line)))
