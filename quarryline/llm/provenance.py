@@ -201,13 +201,20 @@ def _held(read: DataFrame) -> DataFrame:
     return read.withColumn("package", name).where("package != ''")
 
 
-def not_hand_written(files: DataFrame, file_text: DataFrame) -> DataFrame:
+def not_hand_written(files: DataFrame, file_text: DataFrame, families: DataFrame | None = None) -> DataFrame:
     """(file_id, why): the files that nobody wrote by hand in their repository.
 
+    Repositories count as unrelated, but for those that ``families`` (repo, family) puts together, as forks are: what
+    only they share is no copy.
+
     Shared leaves that make up at least half of a file, or a package's folder, make it third-party. Files under
     LEAST_BYTES, hand-written configuration, and text of another language are not judged. Empty tables give no rows.
     """
-    read = materialize(files_read(files, file_text), "read")
+    read = files_read(files, file_text)
+    if families is not None:
+        kin = families.groupBy("repo").agg(F.min("family").alias("family"))
+        read = read.join(kin, "repo", "left").withColumn("repo", F.coalesce("family", "repo")).drop("family")
+    read = materialize(read, "read")
     shared = materialize(shared_share(read.where("size > 0")), "shared")
     own = read.where("why is not null").select("file_id", "why")
     copied = read.select("file_id", "size").join(shared, "file_id").where(F.col("shared") >= SHARED * F.col("size"))

@@ -32,6 +32,8 @@ def test_copies_across_repositories(spark):
     got = rows(provenance.not_hand_written(listed, texts))
     assert [g[0] for g in got] == [1, 2, 3, 6, 7]
     assert rows(provenance.not_hand_written(listed.limit(0), texts)) == []
+    kin = spark.createDataFrame([(r, "one") for r in "abcd"], "repo string, family string")
+    assert rows(provenance.not_hand_written(listed, texts, kin)) == []
 
 
 def test_subtrees(spark):
