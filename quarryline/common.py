@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def session(app: str = "quarryline", master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -67,6 +71,23 @@ def _drop_written() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, unless their path has it anyway.
+
+    The archive lies beside the driver only until Spark's file server has it; executors fetch it from there.
+    """
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-quarryline-"), "quarryline.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "quarryline").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def cut(c: Column | str) -> Column:
     """Trim white space of any kind on both ends."""
     c = F.col(c) if isinstance(c, str) else c

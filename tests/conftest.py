@@ -8,6 +8,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent.parent))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
