@@ -1,25 +1,29 @@
 """Evaluation items that leak into a corpus, whole or for the larger part.
 
 Items and documents are compared as word sequences, without case, punctuation, markup or escapes. An item is split
-into pieces of a few words, one more than the errors it may have; documents are searched for exact pieces, and where
-enough of an item's pieces lie in a document, the passages around them are measured against the item with Myers'
-bit-parallel edit distance over words.
+into more pieces than the errors it may have, which at half of its words are the words themselves. A document that
+holds as many of them as are left by the errors, and in order, is measured against the item with Myers' bit-parallel
+edit distance over words: each stretch of it, and the passages around exact pieces put together.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a piece; share of an item that must be held; words of context at a passage; greatest gap within one.
+#: Words of an exact piece; share of an item that must be held; words of context at a passage; greatest gap within one.
 PIECE, HELD, CONTEXT, GAP = 3, 0.5, 3, 12
+#: Share of an item's own words that must be held; texts, and share of all texts, from which on a pair of words is stock.
+OWN, MANY, MANY_SHARE = 1 / 3, 6, 0.025
 #: Items searched for in one pass over the corpus (the index of a pass is sent to all tasks, so it is bounded).
 ITEMS_PER_PASS = 20_000
 _ESCAPE = re.compile(r"\\+(?:u[0-9a-fA-F]{4}|[nrtbf\"'/\\])|<[^<>\n]{1,80}>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
@@ -72,71 +76,139 @@ def distance(pattern: list[int], text: list[int]) -> int:
     return best
 
 
-class PieceIndex:
-    """The pieces of some items by the numbers of their words."""
+def in_order(masks: dict[int, int], m: int, text: list[int]) -> int:
+    """Most words of a pattern (as masks of their places) that a text holds in order (bit-parallel longest common subsequence)."""
+    rest = full = (1 << m) - 1
+    for w in text:
+        if hit := rest & masks.get(w, 0):
+            rest = rest + hit | rest - hit
+    return m - (rest & full).bit_count()
+
+
+class ItemIndex:
+    """Items by the numbers of their words.
+
+    Half of the words may be wrong, so the pieces of an item, more than its errors, are its single words: whatever lies
+    within the distance holds ``need`` of them, each as often as it is matched, and in order. That is counted over the
+    whole text first, and drops nothing that the distance accepts. Besides, a match must hold a share of the item's own
+    words, those that are not part of phrases of many items: stock sentences alone are no leak.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.number: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
-        at: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             if ids:
-                for p in range(0, max(1, len(ids) - PIECE + 1), PIECE):
-                    at[(*(ids[p : p + PIECE]), *[0] * (PIECE - len(ids[p : p + PIECE])))].append((len(self.items), p))
                 self.items.append((item_id, ids))
-        base = len(self.number) + 1
-        coded = {sum(w * base**k for k, w in enumerate(piece)): where for piece, where in at.items()}
-        self.base, self.keys = base, np.array(sorted(coded), dtype=np.int64)
-        self.where = [coded[k] for k in self.keys.tolist()]
-        # a piece of several items is a stock phrase: it adds to a passage but is no reason to look for one
-        self.own = np.array([len({i for i, _ in w}) == 1 for w in self.where], dtype=bool)
-        own_pieces: dict[int, int] = defaultdict(int)
-        for w, own in zip(self.where, self.own, strict=True):
-            for i, _ in w if own else ():
-                own_pieces[i] += 1
-        self.need = {i: max(1, min(n, round(0.12 * len(self.items[i][1]) / PIECE))) for i, n in own_pieces.items()}
+        sizes = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+        # three words are the least that tells an item from a chance hit
+        self.need = np.maximum(sizes - (sizes * (1 - HELD)).astype(np.int64), np.minimum(sizes, PIECE))
+        self.own = own_words([ids for _, ids in self.items])
+        self.least = np.array([math.ceil(len(o) * OWN) for o in self.own], dtype=np.int64)
+        flat = sorted((w, i, n) for i, o in enumerate(self.own) for w, n in Counter(self.items[i][1][p] for p in o).items())
+        word, self.holder, self.times = (np.array([x[k] for x in flat], dtype=np.int64) for k in range(3))
+        self.bags = [np.unique(ids, return_counts=True) for _, ids in self.items]
+        self.first = np.searchsorted(word, np.arange(len(self.number) + 2))
+
+    def enough(self, ids: np.ndarray) -> np.ndarray:
+        """Items of which the text holds enough own words and enough words, in whatever order."""
+        u, c = np.unique(ids[ids > 0], return_counts=True)
+        n = self.first[u + 1] - self.first[u]
+        at = np.repeat(self.first[u] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        held = np.bincount(self.holder[at], np.minimum(self.times[at], np.repeat(c, n)), minlength=len(self.items))
+        likely = np.nonzero(held >= self.least)[0]
+        if not len(likely):
+            return likely
+        n = np.bincount(ids, minlength=len(self.number) + 1)
+        return np.array([i for i in likely.tolist() if np.minimum(n[self.bags[i][0]], self.bags[i][1]).sum() >= self.need[i]], dtype=np.int64)
 
     def found(self, text: str) -> list[int]:
         """Ids of the items that the text holds for the larger part."""
         ws = words(text)
-        if len(ws) < 1 or not len(self.keys):
+        if not ws or not self.items:
             return []
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
-        padded = np.concatenate([ids, np.zeros(PIECE - 1, dtype=np.int64)])
-        coded = sum(padded[k : k + len(ids)] * self.base**k for k in range(PIECE))
-        slot = np.minimum(np.searchsorted(self.keys, coded), len(self.keys) - 1)
-        hit = np.nonzero(self.keys[slot] == coded)[0]
-        if not len(hit):
-            return []
-        pieces: dict[int, set[int]] = defaultdict(set)
-        for s in slot[hit].tolist():
-            if self.own[s]:
-                for i, p in self.where[s]:
-                    pieces[i].add(p)
-        likely = [i for i, p in pieces.items() if len(p) >= self.need[i]]
-        out = []
-        for i in likely:
-            item_id, pattern = self.items[i]
-            at = [p for p, s in zip(hit.tolist(), slot[hit].tolist(), strict=True) if any(k == i for k, _ in self.where[s])]
-            passages: list[int] = []
-            start = end = None
-            for p in [*at, None]:
-                if p is not None and end is not None and p - end <= GAP:
-                    end = p + PIECE
-                    continue
-                if end is not None:
-                    passages += ids[max(0, start - CONTEXT) : end + CONTEXT].tolist()
-                start, end = p, None if p is None else p + PIECE
-            if distance(pattern, passages) <= len(pattern) * (1 - HELD):
-                out.append(item_id)
-        return out
+        return [self.items[i][0] for i in self.enough(ids).tolist() if self._holds(ids, i)]
+
+    def _holds(self, ids: np.ndarray, i: int) -> bool:
+        pattern, need = self.items[i][1], int(self.need[i])
+        m, errors = len(pattern), len(pattern) - need
+        masks, own = _masks(pattern, range(m)), _masks(pattern, self.own[i])
+        mine = np.zeros(len(self.number) + 1, dtype=bool)
+        mine[pattern] = True
+        at = np.nonzero(mine[ids])[0]
+        listed = ids[at].tolist()
+
+        def held(some: list[int]) -> bool:
+            return in_order(own, len(self.own[i]), [w for w in some if w in own]) >= self.least[i] and in_order(masks, m, some) >= need
+
+        if not held(listed):
+            return False
+        # one passage: a stretch within the distance has at most m + errors words, so it lies in one of these windows whole
+        reach = m + errors
+        for start in range(0, len(ids), reach):
+            a, b = np.searchsorted(at, (start, start + 2 * reach)).tolist()
+            if b - a >= need and held(listed[a:b]) and distance(pattern, ids[start : start + 2 * reach].tolist()) <= errors:
+                return True
+        # a few passages: around exact pieces, or else around words that follow each other nearly as in the item
+        text = ids.tolist()
+        pieces = {tuple(pattern[p : p + PIECE]) for p in range(m)}
+        exact = [p for p in at.tolist() if tuple(text[p : p + PIECE]) in pieces]
+        near = {(w, v) for p, w in enumerate(pattern) for v in pattern[p + 1 : p + 1 + PIECE]}
+        close = [p for p in at.tolist() if any((text[p], v) in near for v in text[p + 1 : p + 1 + PIECE])]
+        for hits in (exact, close):
+            some = _passages(text, hits) if hits else []
+            if held(some) and distance(pattern, some) <= errors:
+                return True
+        return False
+
+
+def _masks(pattern: list[int], places: Iterable[int]) -> dict[int, int]:
+    """The places of each word in a pattern, numbered as they are given, as bits."""
+    masks: dict[int, int] = {}
+    for k, p in enumerate(places):
+        masks[pattern[p]] = masks.get(pattern[p], 0) | 1 << k
+    return masks
+
+
+def own_words(texts: list[list[int]]) -> list[list[int]]:
+    """Places of each text's own words: those in no pair of near words that many of the texts have at the same spacing.
+
+    Equal texts count once. A text with hardly any own words keeps all of them.
+    """
+    pairs = lambda t: {(t[p], t[p + d], d) for d in range(1, PIECE + 1) for p in range(len(t) - d)}
+    distinct_texts = set(map(tuple, texts))
+    times = Counter(chain.from_iterable(map(pairs, distinct_texts)))
+    many = max(MANY, MANY_SHARE * len(distinct_texts))
+    out = []
+    for t in texts:
+        stock = {q for d in range(1, PIECE + 1) for p in range(len(t) - d) if times[t[p], t[p + d], d] >= many for q in (p, p + d)}
+        own = [p for p in range(len(t)) if p not in stock]
+        out.append(own if len(own) >= 2 * PIECE else list(range(len(t))))
+    return out
+
+
+def _passages(text: list[int], hits: list[int]) -> list[int]:
+    """The words around the hits, one passage after another."""
+    out: list[int] = []
+    start, end = hits[0], hits[0] + PIECE
+    for p in [*hits[1:], None]:
+        if p is not None and p - end <= GAP:
+            end = p + PIECE
+            continue
+        out += text[max(0, start - CONTEXT) : end + CONTEXT]
+        if p is not None:
+            start, end = p, p + PIECE
+    return out
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): each document that holds at least half of an item's words in the item's order.
 
+    Phrases that many items have are stock sentences: a third of the item's other words must be held too.
+
     The documents are read once per ``ITEMS_PER_PASS`` items and never shuffled. Null and empty texts on either side
     match nothing; repeated rows give a pair once; texts are searched whole.
     """
@@ -145,7 +217,7 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     passes = [rows[k : k + ITEMS_PER_PASS] for k in range(0, max(1, len(rows)), ITEMS_PER_PASS)]
     found = None
     for part in passes:
-        index = docs.sparkSession.sparkContext.broadcast(PieceIndex(part))
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for b in batches:

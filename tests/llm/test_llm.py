@@ -208,6 +208,24 @@ def test_leaks(spark):
     assert rows(leakage.leaked(df, items.limit(0))) == rows(leakage.leaked(df.limit(0), items)) == []
 
 
+def test_leaks_with_many_words_replaced(spark):
+    rng = random.Random(5)
+    vocab = [f"v{k}x" for k in range(2000)]
+    texts = [[rng.choice(vocab) for _ in range(rng.randrange(40, 90))] for _ in range(30)]
+    spoilt = lambda t: [rng.choice(vocab) if k in bad else w for bad in [set(rng.sample(range(len(t)), len(t) * 45 // 100))] for k, w in enumerate(t)]
+    docs = [(i, " ".join([rng.choice(vocab) for _ in range(70)] + spoilt(t))) for i, t in enumerate(texts)]
+    docs += [(100 + i, " ".join(w for k, w in enumerate(t) if k % 5 not in (1, 3))) for i, t in enumerate(texts)]
+    items = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    assert rows(leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), items)) == sorted(((d, d % 100) for d, _ in docs), key=str)
+
+
+def test_stock_sentences_are_no_leak(spark):
+    frame = lambda k: f"contrary to the manual the n{k}a m{k}b ranks every tie by age and then by o{k}c weight before p{k}d is asked for the q{k}e r{k}f s{k}g"
+    items = spark.createDataFrame([(k, frame(k)) for k in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, frame(3)), (2, frame(77))], "doc_id long, text string")
+    assert rows(leakage.leaked(docs, items)) == [(1, 3)]
+
+
 # ------------------------------------------------------------------ spam
 def test_spam_kinds(spark):
     rng = random.Random(4)
