@@ -13,13 +13,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.common import materialize
+
 #: Words of an exact piece; share of an item that must be held; words of context at a passage; greatest gap within one.
 PIECE, HELD, CONTEXT, GAP = 3, 0.5, 3, 12
 #: Share of an item's own words that must be held; texts, and share of all texts, from which on a pair of words is stock.
@@ -94,17 +95,13 @@ class ItemIndex:
     words, those that are not part of phrases of many items: stock sentences alone are no leak.
     """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[list[int], list[str]]], stock: set[tuple[str, str, int]]) -> None:
         self.number: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        for item_id, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            if ids:
-                self.items.append((item_id, ids))
+        self.items = [(item_ids, [self.number.setdefault(w, len(self.number) + 1) for w in ws]) for item_ids, ws in items]
         sizes = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
         # three words are the least that tells an item from a chance hit
         self.need = np.maximum(sizes - (sizes * (1 - HELD)).astype(np.int64), np.minimum(sizes, PIECE))
-        self.own = own_words([ids for _, ids in self.items])
+        self.own = [own_words(ws, stock) for _, ws in items]
         self.least = np.array([math.ceil(len(o) * OWN) for o in self.own], dtype=np.int64)
         flat = sorted((w, i, n) for i, o in enumerate(self.own) for w, n in Counter(self.items[i][1][p] for p in o).items())
         word, self.holder, self.times = (np.array([x[k] for x in flat], dtype=np.int64) for k in range(3))
@@ -130,7 +127,7 @@ class ItemIndex:
             return []
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
-        return [self.items[i][0] for i in self.enough(ids).tolist() if self._holds(ids, i)]
+        return [item_id for i in self.enough(ids).tolist() if self._holds(ids, i) for item_id in self.items[i][0]]
 
     def _holds(self, ids: np.ndarray, i: int) -> bool:
         pattern, need = self.items[i][1], int(self.need[i])
@@ -173,21 +170,16 @@ def _masks(pattern: list[int], places: Iterable[int]) -> dict[int, int]:
     return masks
 
 
-def own_words(texts: list[list[int]]) -> list[list[int]]:
-    """Places of each text's own words: those in no pair of near words that many of the texts have at the same spacing.
+def _pairs(ws: list[str]) -> Iterator[tuple[tuple[str, str, int], int]]:
+    """Pairs of near words with their spacing, and the place of the first."""
+    return (((ws[p], ws[p + d], d), p) for d in range(1, PIECE + 1) for p in range(len(ws) - d))
 
-    Equal texts count once. A text with hardly any own words keeps all of them.
-    """
-    pairs = lambda t: {(t[p], t[p + d], d) for d in range(1, PIECE + 1) for p in range(len(t) - d)}
-    distinct_texts = set(map(tuple, texts))
-    times = Counter(chain.from_iterable(map(pairs, distinct_texts)))
-    many = max(MANY, MANY_SHARE * len(distinct_texts))
-    out = []
-    for t in texts:
-        stock = {q for d in range(1, PIECE + 1) for p in range(len(t) - d) if times[t[p], t[p + d], d] >= many for q in (p, p + d)}
-        own = [p for p in range(len(t)) if p not in stock]
-        out.append(own if len(own) >= 2 * PIECE else list(range(len(t))))
-    return out
+
+def own_words(ws: list[str], stock: set[tuple[str, str, int]]) -> list[int]:
+    """Places of a text's own words: those in no stock pair. A text with hardly any keeps all of its words."""
+    common = {q for pair, p in _pairs(ws) if pair in stock for q in (p, p + pair[2])}
+    own = [p for p in range(len(ws)) if p not in common]
+    return own if len(own) >= 2 * PIECE else list(range(len(ws)))
 
 
 def _passages(text: list[int], hits: list[int]) -> list[int]:
@@ -204,28 +196,59 @@ def _passages(text: list[int], hits: list[int]) -> list[int]:
     return out
 
 
+def item_texts(items: DataFrame) -> DataFrame:
+    """(words, item_ids): the different word sequences of the items, each with all items that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = pa.array([words(t) for t in b.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), split], names=["item_id", "words"])
+
+    kept = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    split = kept.mapInArrow(run, "item_id long, words array<string>").where("size(words) > 0")
+    return split.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+
+
+def stock_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b, d): pairs of words that stand d words apart in many of all the texts.
+
+    Each is in a fixed share of the texts, so there are never more than a text's pairs divided by that share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ws in b.column("words").to_pylist():
+                found = list({pair for pair, _ in _pairs(ws)})
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["a", "b", "d"])
+
+    many = max(MANY, MANY_SHARE * texts.count())
+    return texts.select("words").mapInArrow(run, "a string, b string, d int").groupBy("a", "b", "d").count().where(F.col("count") >= many).drop("count")
+
+
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): each document that holds at least half of an item's words in the item's order.
 
     Phrases that many items have are stock sentences: a third of the item's other words must be held too.
 
     The documents are read once per ``ITEMS_PER_PASS`` items and never shuffled. Null and empty texts on either side
-    match nothing; repeated rows give a pair once; texts are searched whole.
+    match nothing; repeated rows give a pair once; items of equal words are
+    searched for once and found together; texts are searched whole.
     """
-    kept = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    rows = sorted((r.item_id, r.text) for r in kept.toLocalIterator())
+    texts = materialize(item_texts(items), "items")
+    stock = {(r.a, r.b, r.d) for r in stock_pairs(texts).toLocalIterator()}
+    rows = sorted((r.item_ids, r.words) for r in texts.toLocalIterator())
     passes = [rows[k : k + ITEMS_PER_PASS] for k in range(0, max(1, len(rows)), ITEMS_PER_PASS)]
     found = None
     for part in passes:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(part, stock))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for b in batches:
                 pairs = [(d, i) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for i in index.value.found(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 
-        texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-        got = texts.mapInArrow(run, "doc_id long, item_id long")
+        read = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+        got = read.mapInArrow(run, "doc_id long, item_id long")
         found = got if found is None else found.unionByName(got)
     return found.distinct()
 

@@ -219,11 +219,25 @@ def test_leaks_with_many_words_replaced(spark):
     assert rows(leakage.leaked(spark.createDataFrame(docs, "doc_id long, text string"), items)) == sorted(((d, d % 100) for d, _ in docs), key=str)
 
 
-def test_stock_sentences_are_no_leak(spark):
+def test_leaks_of_items_with_shared_text(spark, monkeypatch):
+    rng = random.Random(6)
+    a, b = ([f"{x}{rng.randrange(900)}z" for _ in range(60)] for x in "ab")
+    texts = {1: " ".join(a), 2: " ".join(a), 3: " ".join(a).upper() + ".", 4: " ".join(a + b[:30]), 5: " ".join(b)}
+    items = spark.createDataFrame([*texts.items(), (1, texts[1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, texts[1]), (2, texts[4])], "doc_id long, text string")
+    want = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5)]
+    assert rows(leakage.leaked(docs, items)) == want
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 1)
+    assert rows(leakage.leaked(docs, items)) == want
+
+
+def test_stock_sentences_are_no_leak(spark, monkeypatch):
     frame = lambda k: f"contrary to the manual the n{k}a m{k}b ranks every tie by age and then by o{k}c weight before p{k}d is asked for the q{k}e r{k}f s{k}g"
     items = spark.createDataFrame([(k, frame(k)) for k in range(8)], "item_id long, text string")
     docs = spark.createDataFrame([(1, frame(3)), (2, frame(77))], "doc_id long, text string")
     assert rows(leakage.leaked(docs, items)) == [(1, 3)]
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 3)
+    assert rows(leakage.leaked(docs, items)) == [(1, 3)]
 
 
 # ------------------------------------------------------------------ spam
