@@ -25,7 +25,7 @@ from quarryline.common import materialize
 PIECE, HELD, CONTEXT, GAP = 3, 0.5, 3, 12
 #: Share of an item's own words that must be held; texts, and share of all texts, from which on a pair of words is stock.
 OWN, MANY, MANY_SHARE = 1 / 3, 6, 0.025
-#: Items searched for in one pass over the corpus (the index of a pass is sent to all tasks, so it is bounded).
+#: Items searched for in one pass over the corpus (the driver reads and sends the items of one pass at a time; by hash, so about as many).
 ITEMS_PER_PASS = 20_000
 _ESCAPE = re.compile(r"\\+(?:u[0-9a-fA-F]{4}|[nrtbf\"'/\\])|<[^<>\n]{1,80}>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
@@ -236,11 +236,13 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     texts = materialize(item_texts(items), "items")
     stock = {(r.a, r.b, r.d) for r in stock_pairs(texts).toLocalIterator()}
-    rows = sorted((r.item_ids, r.words) for r in texts.toLocalIterator())
-    passes = [rows[k : k + ITEMS_PER_PASS] for k in range(0, max(1, len(rows)), ITEMS_PER_PASS)]
+    n_passes = max(1, -(-texts.count() // ITEMS_PER_PASS))
+    if n_passes > 1:
+        texts = materialize(texts.withColumn("pass", F.pmod(F.xxhash64("words"), F.lit(n_passes))), "passes")
     found = None
-    for part in passes:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(part, stock))
+    for number in range(n_passes):
+        part = texts.where(F.col("pass") == number) if n_passes > 1 else texts
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(sorted((r.item_ids, r.words) for r in part.toLocalIterator()), stock))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for b in batches:
@@ -249,6 +251,9 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         read = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
         got = read.mapInArrow(run, "doc_id long, item_id long")
+        if n_passes > 1:
+            got = materialize(got, "pairs")
+            index.destroy()
         found = got if found is None else found.unionByName(got)
     return found.distinct()
 

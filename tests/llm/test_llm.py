@@ -231,6 +231,15 @@ def test_leaks_of_items_with_shared_text(spark, monkeypatch):
     assert rows(leakage.leaked(docs, items)) == want
 
 
+def test_driver_holds_one_pass_of_items(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS_PER_PASS", 10)
+    df = spark.createDataFrame([(k, " ".join(f"x{k}y{j}z" for j in range(20))) for k in range(40)], "doc_id long, text string")
+    read = []
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a, f=type(df).toLocalIterator: read.append(list(f(self, *a))) or iter(read[-1]))
+    assert rows(leakage.leaked(df, df.withColumnRenamed("doc_id", "item_id"))) == sorted(((k, k) for k in range(40)), key=str)
+    assert sum(map(len, read)) == 40 and max(map(len, read)) < 40
+
+
 def test_stock_sentences_are_no_leak(spark, monkeypatch):
     frame = lambda k: f"contrary to the manual the n{k}a m{k}b ranks every tie by age and then by o{k}c weight before p{k}d is asked for the q{k}e r{k}f s{k}g"
     items = spark.createDataFrame([(k, frame(k)) for k in range(8)], "item_id long, text string")
