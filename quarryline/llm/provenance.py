@@ -45,17 +45,18 @@ _LITERALS = re.compile(r"[\d.,\s\[\](){}\"+;-]+|[A-Za-z0-9+/=]{50,}|\bb(?=\")")
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
 
 
-def leaves(text: str) -> list[tuple[int, int]]:
+def leaves(text: str, least: int = LEAF_CHARS) -> list[tuple[int, int]]:
     """(hash, length) of the definitions of a source text, without comments, blank lines and indentation.
 
-    A definition begins at a line of its own that names one, at the outer two levels of indentation.
+    A definition begins at a line of its own that names one, at the outer two levels of indentation. Those under
+    ``least`` characters are left out.
     """
     out: list[tuple[int, int]] = []
     part: list[str] = []
 
     def close() -> None:
         n = sum(map(len, part))
-        if n >= LEAF_CHARS:
+        if n >= least:
             h = xxhash.xxh64_intdigest("\n".join(part))
             out.append((h - (1 << 64) if h >> 63 else h, n))
         part.clear()
@@ -153,7 +154,9 @@ def told(ext: str, path: str, text: str) -> str | None:
 
 
 def files_read(files: DataFrame, file_text: DataFrame) -> DataFrame:
-    """(file_id, repo, path, why, size, leaves): what each file tells about itself, and its leaves.
+    """(file_id, repo, path, why, size, leaves, node, judged): what each file tells about itself, its leaves, and its hash.
+
+    The hash is made of all definitions, however short; null for files without any. Files of LEAST_BYTES are judged.
 
     A file that is listed twice is read once; files without text, id or path are left out. Texts meet their paths in
     one shuffle and are read whole.
@@ -164,18 +167,22 @@ def files_read(files: DataFrame, file_text: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            why, size, found = [], [], []
+            why, size, found, node, judged = [], [], [], [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 ext = path.rsplit(".", 1)[-1].lower()
                 why.append(told(ext, path, text))
-                got = leaves(text) if ext in CODE and len(text) >= LEAST_BYTES else []
+                every = leaves(text, 1) if ext in CODE else []
+                got = [x for x in every if x[1] >= LEAF_CHARS] if len(text) >= LEAST_BYTES else []
+                h = xxhash.xxh64_intdigest(repr(sorted(h for h, _ in every)))
+                node.append((h - (1 << 64) if h >> 63 else h) if every else None)
                 found.append([{"h": h, "n": n} for h, n in got])
                 size.append(sum(n for _, n in got))
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))
-            made = [pa.array(x, t) for x, t in zip((why, size, found), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("path"), *made], names=["file_id", "repo", "path", "why", "size", "leaves"])
+                judged.append(len(text.encode("utf-8", "replace")) >= LEAST_BYTES)
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])), pa.int64(), pa.bool_())
+            made = [pa.array(x, t) for x, t in zip((why, size, found, node, judged), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("repo"), b.column("path"), *made], names=["file_id", "repo", "path", "why", "size", "leaves", "node", "judged"])
 
-    schema = "file_id long, repo string, path string, why string, size long, leaves array<struct<h:long,n:int>>"
+    schema = "file_id long, repo string, path string, why string, size long, leaves array<struct<h:long,n:int>>, node long, judged boolean"
     return texts.join(listed, "file_id").select("file_id", "repo", "path", "content").mapInArrow(run, schema)
 
 
@@ -207,10 +214,11 @@ def not_hand_written(files: DataFrame, file_text: DataFrame, families: DataFrame
     Repositories count as unrelated, but for those that ``families`` (repo, family) puts together, as forks are: what
     only they share is no copy.
 
-    Shared leaves that make up at least half of a file, or a package's folder, make it third-party. Files under
+    Shared leaves that make up at least half of a file, a package's folder, or a folder that hashes alike in several
+    repositories, with all below it, make it third-party. Files under
     LEAST_BYTES, hand-written configuration, and text of another language are not judged. Empty tables give no rows.
     """
-    read = files_read(files, file_text)
+    read = files_read(files, file_text).withColumn("home", F.col("repo"))
     if families is not None:
         kin = families.groupBy("repo").agg(F.min("family").alias("family"))
         read = read.join(kin, "repo", "left").withColumn("repo", F.coalesce("family", "repo")).drop("family")
@@ -220,30 +228,48 @@ def not_hand_written(files: DataFrame, file_text: DataFrame, families: DataFrame
     copied = read.select("file_id", "size").join(shared, "file_id").where(F.col("shared") >= SHARED * F.col("size"))
     known = packages(read, shared)
     held = _held(read).where("size > 0").join(known, "package", "left_semi")
-    third = copied.select("file_id").unionByName(held.select("file_id")).withColumn("why", F.lit("third-party"))
+    third = copied.select("file_id").unionByName(held.select("file_id")).unionByName(below_shared(read)).withColumn("why", F.lit("third-party"))
     return own.unionByName(third).groupBy("file_id").agg(F.min("why").alias("why"))
 
 
-def shared_subtrees(files: DataFrame, file_text: DataFrame) -> DataFrame:
-    """(hash, folders, repositories, files): folders whose whole content hashes alike in several repositories.
+def folder_nodes(read: DataFrame) -> DataFrame:
+    """(home, repo, path, hash, n): the folders of each repository ``home`` with their hashes and numbers of files.
 
     Hashes go bottom-up, one level of folders per round: a folder's hash is made of the sums over its children's
-    names and hashes, so children are added up map side in any order. Only folders of two files and more count.
+    names and hashes, so children are added up map side in any order.
     """
-    read = files_read(files, file_text).where("size > 0")
-    node = read.select("repo", "path", F.xxhash64(F.array_sort(F.transform("leaves", lambda x: x.h))).alias("hash"), F.lit(1).cast("long").alias("n"))
-    node = materialize(node.withColumn("depth", F.size(F.split("path", "/")) - 1), "nodes")
+    node = read.where("node is not null").groupBy("home", "path").agg(F.min("repo").alias("repo"), F.min("node").alias("hash"))
+    node = node.select("home", "repo", "path", "hash", F.lit(1).cast("long").alias("n"), (F.size(F.split("path", "/")) - 1).alias("depth"))
+    node = materialize(node, "nodes")
     deepest = node.agg(F.max("depth")).first()[0] or 0
     folders, below = None, None
     for depth in range(deepest, 0, -1):
-        level = node.where(F.col("depth") == depth).select("repo", "path", "hash", "n")
+        level = node.where(F.col("depth") == depth).drop("depth")
         level = level if below is None else level.unionByName(below)
         child = F.xxhash64(F.regexp_extract("path", r"([^/]+)$", 1), "hash")
-        up = level.groupBy("repo", F.regexp_replace("path", r"/[^/]+$", "").alias("path")).agg(F.bit_xor(child).alias("x"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-        below = materialize(up.select("repo", "path", F.xxhash64("x", "k").alias("hash"), "n"), f"level{depth}")
+        up = level.groupBy("home", "repo", F.regexp_replace("path", r"/[^/]+$", "").alias("path")).agg(F.bit_xor(child).alias("x"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+        below = materialize(up.select("home", "repo", "path", F.xxhash64("x", "k").alias("hash"), "n"), f"level{depth}")
         folders = below if folders is None else folders.unionByName(below)
-    if folders is None:
-        folders = node.select("repo", "path", "hash", "n").limit(0)
+    return node.drop("depth").limit(0) if folders is None else folders
+
+
+def below_shared(read: DataFrame) -> DataFrame:
+    """(file_id): files of LEAST_BYTES and more below a folder of several files that hashes alike in unrelated repositories."""
+    folders = folder_nodes(read).where("n > 1")
+    many = folders.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a != b").select("hash")
+    alike = lookup_join(folders.select("home", "path", "hash"), many, ["hash"], "left_semi").select("home", F.col("path").alias("folder"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    inside = read.where("judged and node is not null and path like '%/%'").select("file_id", "home", F.explode(above).alias("folder"))
+    return lookup_join(inside, alike, ["home", "folder"], "left_semi").select("file_id").distinct()
+
+
+def shared_subtrees(files: DataFrame, file_text: DataFrame) -> DataFrame:
+    """(hash, folders, repositories, files): folders whose whole content hashes alike in several repositories.
+
+    Only folders of two files and more count.
+    """
+    folders = folder_nodes(files_read(files, file_text).withColumn("home", F.col("repo")))
     alike = folders.where("n > 1").groupBy("hash").agg(
         F.count(F.lit(1)).alias("folders"), F.count_distinct("repo").alias("repositories"), F.max("n").alias("files"), F.min("path").alias("example")
     )

@@ -42,6 +42,19 @@ def test_subtrees(spark):
     assert [(r.folders, r.repositories, r.files) for r in got.collect()] == [(2, 2, 2)] * 2  # p, and what holds just p
 
 
+def test_copied_folders_of_short_definitions(spark):
+    short = lambda name: "\n\n".join(f"def {name}{k}(x):\n    return x * {k + 3}\n" for k in range(8))
+    files = [
+        (1, "a", "kit/core/p.py", short("p")), (2, "a", "kit/core/sub/q.py", short("q")), (3, "b", "lib/core/p.py", short("p")), (4, "b", "lib/core/sub/q.py", short("q")),
+        (5, "a", "app/main.py", short("m")), (6, "b", "app/main.py", short("n")), (7, "a", "kit/core/sub/tiny.py", "x = 1"), (8, "b", "lib/core/sub/tiny.py", "x = 1"),
+    ]
+    listed = spark.createDataFrame([(i, r, p, "python", 1) for i, r, p, _ in files], FILES)
+    texts = spark.createDataFrame([(i, t) for i, _, _, t in files], TEXT)
+    assert rows(provenance.not_hand_written(listed, texts), "file_id") == [(1,), (2,), (3,), (4,)]
+    kin = spark.createDataFrame([(r, "one") for r in "ab"], "repo string, family string")
+    assert rows(provenance.not_hand_written(listed, texts, kin)) == []
+
+
 def test_layouts():
     told = provenance.told
     normal = body(7)
