@@ -73,7 +73,9 @@ def leaves(text: str, least: int = LEAF_CHARS) -> list[tuple[int, int]]:
 
 
 def _signed(lines: list[str], pattern: re.Pattern) -> bool:
-    return any(_COMMENT.match(x) and pattern.search(x) for x in (*lines[:12], *lines[-4:]))
+    """Whether a comment line at the top, in the leading comment block however long, or in the last lines has the signature."""
+    top = max(12, next((k for k, x in enumerate(lines) if not _COMMENT.match(x)), len(lines)))
+    return any(_COMMENT.match(x) and pattern.search(x) for x in (*lines[:top], *lines[-4:]))
 
 
 def _stepping(lines: list[str]) -> bool:
@@ -96,7 +98,7 @@ def _uniform(lines: list[str]) -> bool:
     """Nearly all lines have one of a few shapes."""
     if len(lines) < 8:
         return False
-    shapes = Counter(_WORD.sub("x", re.sub(r"\d+", "0", _STRING.sub("s", x)))[:200] for x in lines)
+    shapes = Counter(_WORD.sub("x", re.sub(r"\d+", "0", _STRING.sub("s", x))) for x in lines)
     return sum(n for _, n in shapes.most_common(4) if n > 2) >= 0.85 * len(lines)
 
 
@@ -122,7 +124,7 @@ def layout(ext: str, text: str) -> str | None:
     if size >= LEAST_BYTES and text.lstrip()[:1] != "<":
         if words <= 0.08 * size or (words <= 0.12 * size and digits + quoted > 0.6 * size and len(code) < 6):
             return "data"
-        if text.lstrip()[:1] in "[{" and quoted + digits > 0.3 * size and not re.search(r"[;=(]", masked[:4000]):
+        if text.lstrip()[:1] in "[{" and quoted + digits > 0.3 * size and not re.search(r"[;=(]", masked):
             return "data"
         marks = Counter(x.count(",") for x in lines)
         commas, n = marks.most_common(1)[0]
@@ -142,7 +144,7 @@ def told(ext: str, path: str, text: str) -> str | None:
     name = path.rsplit("/", 1)[-1]
     if ext in ("json", "yaml", "yml", "toml", "lock"):
         keys = text.count('"integrity"') + text.count("checksum") + text.count('"resolved"')
-        return "lock" if keys >= 3 and (LOCKS.search(name) or re.search(r'"lock(?:file)?Version"', text[:2000])) else None
+        return "lock" if keys >= 3 and (LOCKS.search(name) or re.search(r'"lock(?:file)?Version"', text)) else None
     if ext not in CODE:
         return None
     lines = [x for x in text.replace("\r", "\n").split("\n") if x.strip()]

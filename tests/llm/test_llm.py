@@ -55,6 +55,17 @@ def test_copied_folders_of_short_definitions(spark):
     assert rows(provenance.not_hand_written(listed, texts, kin)) == []
 
 
+def test_texts_are_judged_whole():
+    told = provenance.told
+    table = "[\n" + "".join(f'  {{"key{k}": "value number {k}", "n": {k * 7 % 1000}}},\n' for k in range(300)) + "]"
+    assert told("js", "a.js", table) == "data" and told("js", "a.js", table + ".forEach(row => { register(row); });\n" + body(3, 120)) is None
+    deps = ", ".join(f'"p{k}": {{"resolved": "https://r.example/p{k}", "integrity": "sha512-{k}"}}' for k in range(60))
+    assert told("json", "deps.json", f'{{"dependencies": {{{deps}}}, "lockfileVersion": 2}}') == "lock"
+    header = "".join(f"# licence text, line {k}\n" for k in range(20))
+    assert told("py", "a.py", header + "# Code generated by x. DO NOT EDIT.\n" + body(7)) == "generated"
+    assert told("py", "a.py", header + body(7) + "# Code generated by x. DO NOT EDIT.\n" + body(8)) is None
+
+
 def test_layouts():
     told = provenance.told
     normal = body(7)
