@@ -77,8 +77,8 @@ def p9_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    """Documents made to attract searches: keywords, links or tags in place of sentences."""
-    return p9_kinds(spark, base).where("kind != 'salad'").select("doc_id").distinct()
+    """Documents made to attract searches: keywords, links or tags in place of sentences (word salad attracts none)."""
+    return spam.spam_pages(table(spark, base, "documents"), salad=False).select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_kinds, p1_subtrees, p3_found, p3_rates, p4_found, p4_redacted, p7_packed, p7_fill, p8_found, p8_items, p9_found, p9_kinds)}
