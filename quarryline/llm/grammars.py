@@ -8,17 +8,21 @@ so the terminal ``Args`` stands for a round bracket whose content is a list of a
 _SCRIPT_EXPRESSIONS = """
 Expr: Assign (',' Assign)*
 Arg: ... Assign | Assign
-Assign: Cond3 | Arrow | Postfix AssignOp Assign | yield | yield '*'? Assign
+Assign: Cond3 | Arrow | Target AssignOp Assign | Pattern = Assign | yield | yield '*'? Assign
 AssignOp: = | BINASSIGN
+Target: ID | PTarget | Postfix . NAME | Postfix . PRIVATE | Postfix Idx
+Pattern: Obj | Arr
 Cond3: Binary | Binary '?' Assign : Assign
-Binary: Unary (BinOp Unary)*
+Binary: Bits (LOGIC Bits)* | Bits (COALESCE Bits)+
+Bits: Unary (BinOp Unary)* | PRIVATE in Unary
 BinOp: BINOP | in | instanceof | '+' | - | '*' | < | '>' | '|' | & | '>' '>' | '>' '>' '>' | '>' >=
-Unary: PreOp* Postfix PostOp?
-PreOp: '!' | ~ | '+' | - | INC | typeof | void | delete | await
-PostOp: INC
+Unary: Update | Update POW Unary | PreOp Signed | await Unary
+Signed: Update | PreOp Signed | await Signed
+PreOp: '!' | ~ | '+' | - | typeof | void | delete
+Update: Postfix | INC Target | Target INC
 Postfix: Primary Suffix*
 Suffix: . NAME | . PRIVATE | '?.' NAME | '?.' PRIVATE | '?.' Args | '?.' Idx | Args | Idx | TEMPLATE
-Primary: ID | NUM | OCT | STR | TEMPLATE | REGEX | this | super | null | true | false | Cond | Arr | Obj | Function | Class | New | import Args | import . NAME | PRIVATE | JSX
+Primary: ID | NUM | OCT | STR | TEMPLATE | REGEX | this | super | null | true | false | Cond | Arr | Obj | Function | Class | New | import Args | import . NAME | JSX
 New: new Postfix | new . NAME
 Function: async? function '*'? ID? Params Block
 Arrow: async? ID => Body | async? Params => Body
@@ -36,19 +40,21 @@ Param: Decorator* Binding | Decorator* Binding = Assign | ... Binding
 Binding: ID | Obj | Arr
 """
 _SCRIPT_STATEMENTS = """
-Eos: ; | $
-Stmts: Stmt*
-Script: Stmt*
+Eos: ; | NL | $
+Stmts: ( Stmt | With )*
+Source: SCRIPT Stmts | MODULE Module
 Module: ( Stmt | ModuleStmt )*
-Stmt: Block | ; | Var Eos | !Brace !function !class Expr Eos | IfStmt | Loop | Jump | Try | ID : Stmt | switch Cond Cases | with Cond Stmt | Function | Class | debugger Eos
-Var: VarKind Declarator (',' Declarator)*
+Stmt: Block | ; | Var Eos | !Brace !function !class Expr Eos | IfStmt | Loop | Jump | Try | ID : Stmt | switch Cond Cases | Function | Class | debugger Eos
+Var: var Declarators | let Declarators | const Constant (',' Constant)*
 VarKind: var | let | const
-Declarator: Binding | Binding = Assign
-IfStmt: if Cond Stmt | if Cond Stmt else Stmt
-Loop: while Cond Stmt | do Stmt while Cond ;? | for await? ForHead Stmt
+Declarators: Declarator (',' Declarator)*
+Declarator: ID | Binding = Assign
+Constant: Binding = Assign
+IfStmt: if Cond Stmt | if Cond Stmt NL? else Stmt
+Loop: while Cond Stmt | do Stmt NL? while Cond ;? | for await? ForHead Stmt
 ForHeadIn: ForInit? ; Expr? ; Expr? | ForVar of Assign | ForVar in Expr
 ForInit: Var | Expr
-ForVar: VarKind Binding | Postfix
+ForVar: VarKind Binding | Target | Pattern
 Jump: return Expr? Eos | throw Expr Eos | break ID? Eos | continue ID? Eos
 Try: try Block Catch | try Block Finally | try Block Catch Finally
 Catch: catch CatchParam Block | catch Block
@@ -56,10 +62,11 @@ Finally: finally Block
 CatchIn: Binding
 CaseBody: CaseItem*
 CaseItem: case Expr : Stmts | default : Stmts
-ModuleStmt: import ImportWhat from STR With? Eos | import STR With? Eos | export ExportWhat
-With: with Obj
+ModuleStmt: import ImportWhat from STR Attributes? Eos | import STR Attributes? Eos | export ExportWhat
+Attributes: with Obj
+With: with Cond Stmt
 ImportWhat: ID | Specs | '*' as ID | ID ',' Specs | ID ',' '*' as ID
-ExportWhat: Specs ( from STR With? )? Eos | '*' ( as Key )? from STR With? Eos | default Default | Var Eos | Function | Class
+ExportWhat: Specs ( from STR Attributes? )? Eos | '*' ( as Key )? from STR Attributes? Eos | default Default | Var Eos | Function | Class
 Default: Function | Class | !function !class Assign Eos
 Spec: NAME | NAME as NAME | STR as NAME | NAME as STR | STR
 """
@@ -76,7 +83,9 @@ JAVASCRIPT = _SCRIPT_EXPRESSIONS + _SCRIPT_STATEMENTS + _JSX
 
 # ---------------------------------------------------------------- TypeScript: what it adds
 _TYPES = """
-Binary: Binary as Type | Binary as const | Binary satisfies Type | Binary BinOp Unary
+Bits: Bits as Type | Bits as const | Bits satisfies Type | Bits BinOp Unary
+Target: Postfix '!'
+Constant: Binding '!'? Ann | Binding '!'? Ann = Assign
 Suffix: '!' | TypeArgs Args | TypeArgs TEMPLATE | '?.' TypeArgs Args
 Primary: ID TypeArgs
 PreOp: TypeArgs
@@ -112,7 +121,7 @@ TyUnary: TyPre* TyPostfix
 TyPre: keyof | readonly | unique
 TyPostfix: TyPrimary TySuffix*
 TySuffix: ArrEmpty | TyIdx
-TyPrimary: QName TypeArgs? | STR | NUM | - NUM | TEMPLATE | void | null | undefined | this | true | false | TyParen | TyTuple | Iface | typeof QName TypeArgs? | infer ID | import Args ( . NAME )* TypeArgs?
+TyPrimary: QName TypeArgs? | STR | NUM | - NUM | TEMPLATE | void | null | undefined | this | true | false | TyParen | TyTuple | Iface | typeof QName TypeArgs? | typeof import Args ( . NAME )* TypeArgs? | infer ID | import Args ( . NAME )* TypeArgs?
 TypeArgs: < Types '>'
 TypeParams: < TypeParam (',' TypeParam)* ','? '>'
 TypeParam: Mods1* ID ( extends Type )? ( = Type )?
@@ -131,8 +140,15 @@ TYPESCRIPT = _SCRIPT_EXPRESSIONS + _SCRIPT_STATEMENTS + _JSX + _TYPES
 PYTHON = """
 Test: Or | Or if Or else Test | Lambda
 Lambda: lambda LParams? : Test
-LParams: LParam (',' LParam)* ','?
-LParam: NAME | NAME = Test | '*' NAME? | '**' NAME | /
+LParams: LPlace ','? | LPlace ',' LStar ','? | LStar ','?
+LPlace: LPlains | LPlains ',' LDefaults | LDefaults
+LPlains: LPlain (',' LPlain)*
+LPlain: NAME | /
+LDefaults: LDefault (',' LDefault)*
+LDefault: NAME = Test | /
+LStar: '*' NAME (',' LNamed)* (',' LKeys)? | '*' (',' LNamed)+ (',' LKeys)? | LKeys
+LNamed: NAME | NAME = Test
+LKeys: '**' NAME
 Or: Un ( Op Un )*
 Op: OP | '*' | '|' | / | '**' | - | '+' | and | or | in | not in | is | is not
 Un: PreOp* Post
@@ -146,7 +162,9 @@ CompFor: async? for Targets in Or CompIf* | async? for Targets in Or if Or else
 CompIf: if Or | if Lambda
 Comp: Named CompFor+ | CompFor+
 Targets: Target (',' Target)* ','?
-Target: '*'? Post
+Target: '*'? One
+One: NAME | Post . NAME | Post Sub | TTuple | TList
+Alone: NAME | Post . NAME | Post Sub | TOne
 Arg: Star | NAME = Test | '**' Test | Named CompFor+
 ParenOne: Named CompFor+ | Yield
 Slice: Star | Test? : Test? | Test? : Test? : Test?
@@ -154,14 +172,15 @@ DictItem: Test : Test | '**' Or
 DictOne: Test : Test CompFor+
 Param: NAME | NAME : Test | NAME = Test | NAME : Test = Test | '*' | '*' NAME | '*' NAME : Star | '**' NAME | '**' NAME : Test | /
 ImportName: NAME | NAME as NAME
-WithItem: Test | Test as Target
+WithItem: Test | Test as One
 TypeParam: NAME ( : Test )? ( = Test )? | '*' NAME | '**' NAME
 List1: Star (',' Star)* ','?
 Yield: yield | yield List1 | yield from Test
 Value: List1 | Yield
 Simple: Small ( ; Small )* ;?
-Small: Value | ( List1 = )+ Value | List1 AugOp Value | Target : Test | Target : Test = Value | del Targets | pass | break | continue | return List1? | raise | raise Test | raise Test from Test | global Names | nonlocal Names | assert Test (',' Test)? | import Dotted (',' Dotted)* | FromImport | type NAME List? = Test
+Small: Value | ( Targets = )+ Value | Alone AugOp Value | Alone : Test | Alone : Test = Value | del Deleted (',' Deleted)* ','? | pass | break | continue | return List1? | raise | raise Test | raise Test from Test | global Names | nonlocal Names | assert Test (',' Test)? | import Dotted (',' Dotted)* | FromImport | type NAME List? = Test
 AugOp: AUG
+Deleted: One
 Names: NAME (',' NAME)*
 Dotted: QName ( as NAME )?
 QName: NAME ( . NAME )*
