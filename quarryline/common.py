@@ -53,11 +53,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage and survives lost executors. The files go when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quarryline-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(df.sparkSession)}/{name}"
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one, to be dropped when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quarryline-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write ``df`` as parquet."""
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path.rsplit("/", 1)[0]))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
@@ -114,13 +124,14 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     return counts.where((F.col("_n") > 1000) & (F.col("_n") * share > total)).select(*keys)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = 200) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", share: int = 200, hot: DataFrame | None = None) -> DataFrame:
     """Join to a table with one row per key, safe against hot keys on the left.
 
     The right rows of the hot keys (at most ``share``, see ``hot_keys``) are broadcast; their left rows are never
-    shuffled. All others take the ordinary join. Null keys match nothing.
+    shuffled. All others take the ordinary join. Null keys match nothing. ``hot`` gives the hot keys where they are
+    known already.
     """
-    hot = F.broadcast(hot_keys(left, keys, share)).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot_keys(left, keys, share) if hot is None else hot).withColumn("_hot", F.lit(True))
     marked = left.join(hot, keys, "left")
     hot_left, cold_left = marked.where("_hot").drop("_hot"), marked.where("_hot is null").drop("_hot")
     hot_right = right.join(hot.drop("_hot"), keys, "left_semi")

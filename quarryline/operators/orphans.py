@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.common import cut, lookup_join, materialize, norm_key, norm_path
+from quarryline.common import cut, hot_keys, lookup_join, materialize, new_folder, norm_key, norm_path, write
 
 FOUND = ["src", "src_key", "field", "ref", "reason", "period"]
 
@@ -47,58 +47,107 @@ def memory_versions(memory: DataFrame) -> DataFrame:
     )
 
 
-def references(edges: DataFrame, memory: DataFrame) -> dict[str, DataFrame]:
-    """All references by kind of target: (src, src_key, field, ref, t) and repo for files. Blank ones are none."""
-    mem = memory_versions(memory)
+REFS = ["src", "src_key", "field", "ref", "t", "repo", "parent"]
+
+
+def references(edges: DataFrame, memory: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
+    """All references as REFS: ``parent`` is the table that ``ref`` is a key of. Blank ones are none.
 
-    def exploded(field: str, ref: Column) -> DataFrame:
-        e = mem.select("src_key", "repo", "t", F.explode(field).alias("raw"))
-        e = e.select(F.lit("memory_rev").alias("src"), "src_key", F.lit(field).alias("field"), ref.alias("ref"), "t", "repo")
-        return e.where("ref is not null")
+    Edges refer to two symbols, memory records (each revision) to scopes, symbols and files, scopes to their members and
+    symbols to their file. Removed scopes and symbols are no records any more.
+    """
 
-    scope = cut("raw")
-    edge_refs = edges.select(
-        F.lit("edges").alias("src"), F.col("edge_id").cast("string").alias("src_key"), F.lit("target_symbol").alias("field"),
-        norm_key("target_symbol").alias("ref"), F.col("indexed_at").cast("timestamp").alias("t"),
-    ).where("ref is not null")
-    return {
-        "symbol": edge_refs.unionByName(exploded("symbols", norm_key("raw")).drop("repo")),
-        "scope": exploded("scopes", F.when(scope != "", scope)).drop("repo"),
-        "file": exploded("files", norm_path("raw")),
-    }
+    def made(rows: DataFrame, src: str, field: str, parent: str, ref: Column) -> DataFrame:
+        lits = [F.lit(x).alias(n) for n, x in (("src", src), ("field", field), ("parent", parent))]
+        return rows.select(*lits, "src_key", ref.alias("ref"), "t", "repo").select(*REFS).where("src_key is not null and ref is not null")
 
+    def exploded(rows: DataFrame, src: str, column: str, field: str, parent: str, ref: Column) -> DataFrame:
+        return made(rows.select("src_key", "repo", "t", F.explode(column).alias("raw")), src, field, parent, ref)
 
-def direct_orphans(
+    mem = memory_versions(memory)
+    edge = edges.select(F.col("edge_id").cast("string").alias("src_key"), "repo", F.col("indexed_at").cast("timestamp").alias("t"), "source_symbol", "target_symbol")
+    scope = scopes.where("removed_at is null").select(cut("id").alias("src_key"), "repo", F.col("created_at").cast("timestamp").alias("t"), "members")
+    symbol = symbols.where("removed_at is null").select(norm_key("symbol_id").alias("src_key"), "repo", F.col("first_seen_at").cast("timestamp").alias("t"), "file")
+    named = F.when(cut("raw") != "", cut("raw"))
+    return reduce(DataFrame.unionByName, [
+        made(edge, "edges", "target_symbol", "symbols", norm_key("target_symbol")), made(edge, "edges", "source_symbol", "symbols", norm_key("source_symbol")),
+        exploded(mem, "memory_rev", "symbols", "symbols", "symbols", norm_key("raw")), exploded(mem, "memory_rev", "scopes", "scopes", "scopes", named),
+        exploded(mem, "memory_rev", "files", "files", "files", norm_path("raw")), exploded(scope, "scopes", "members.symbols", "members.symbols", "symbols", norm_key("raw")),
+        exploded(scope, "scopes", "members.files", "members.files", "files", norm_path("raw")), made(symbol, "symbols", "file", "files", norm_path("file")),
+    ])
+
+
+def judged_references(refs: DataFrame, symbols: DataFrame, scopes: DataFrame, files: DataFrame, files_snap: DataFrame) -> DataFrame:
+    """REFS with ``reason``: missing, deleted, late, or null where the record is there.
+
+    Symbols and scopes are judged at the time of the reference, files against ``files`` as it stands. References to hot
+    targets are never shuffled (``lookup_join``).
+    """
+    scope_key = cut("id")
+    known = lifetimes(symbols, norm_key("symbol_id"), "first_seen_at", "removed_at").withColumn("parent", F.lit("symbols"))
+    known = known.unionByName(lifetimes(scopes, F.when(scope_key != "", scope_key), "created_at", "removed_at").withColumn("parent", F.lit("scopes")))
+    timed = lookup_join(refs.where("parent != 'files'"), known, ["parent", "ref"]).withColumn("reason", judged(F.col("lives"), F.col("t"))).drop("lives")
+    # one row per path: whether it is listed now, or was in any listing
+    path = lambda rows, now: rows.select("repo", norm_path("path").alias("ref"), F.lit(now).alias("now")).where("ref is not null and repo is not null")
+    seen = path(files, True).unionByName(path(files_snap, False)).groupBy("repo", "ref").agg(F.max("now").alias("now"))
+    state = F.when(F.col("now"), None).when(F.col("now").isNull(), "missing").otherwise("deleted")
+    filed = lookup_join(refs.where("parent = 'files'"), seen, ["repo", "ref"]).withColumn("reason", state).drop("now")
+    return timed.unionByName(filed)
+
+
+def cascade(refs: DataFrame, leaves: tuple[str, ...] = ()) -> DataFrame:
+    """Orphan references as (src, src_key, field, ref, t, reason, depth); depth 0 is direct, others are inherited.
+
+    ``refs`` holds all references (REFS and reason). A record with an orphan reference is an orphan itself, so what
+    refers to it is one level deeper. Each round semi-joins the sound references with the last round's new records and
+    ends when there are none, however deep the tables hang together; cycles end too. Rounds are written to the shared
+    folder, and read back as one table, so that no plan grows. Of hot records only the key is sent, their references
+    are never shuffled. Null keys refer to nothing; a reference that is there several times is one.
+    """
+    refs = materialize(refs.where("src_key is not null and ref is not null").distinct(), "references")
+    shown = ["src", "src_key", "field", "ref", "t", "reason"]
+    spark = refs.sparkSession
+    home = new_folder(spark)
+    sound = refs.where("reason is null")
+    hot = materialize(hot_keys(sound, ["parent", "ref"]), "hot")
+    found = refs.where("reason is not null")
+    records = found.select(F.col("src").alias("parent"), F.col("src_key").alias("ref")).where(~F.col("parent").isin(list(leaves))).distinct()
+    write(records, f"{home}/records/depth=0")
+    depth = 0
+    levels = spark.read.schema("parent string, ref string, depth int").option("basePath", f"{home}/records")
+    last = levels.parquet(f"{home}/records/depth=0").drop("depth")
+    inherited = f"{home}/inherited"
+    schema = "src string, src_key string, field string, ref string, t timestamp, reason string"
+    while not last.isEmpty():
+        depth += 1
+        write(lookup_join(sound, last, ["parent", "ref"], "left_semi", hot=hot).select(*shown), f"{inherited}/depth={depth}")
+        below = spark.read.schema(schema).parquet(f"{inherited}/depth={depth}")
+        new = below.select(F.col("src").alias("parent"), F.col("src_key").alias("ref")).where(~F.col("parent").isin(list(leaves))).distinct()
+        known = levels.parquet(f"{home}/records").select("parent", "ref")
+        write(new.join(known, ["parent", "ref"], "left_anti"), f"{home}/records/depth={depth}")
+        last = levels.parquet(f"{home}/records/depth={depth}").drop("depth")
+    direct = found.select(*shown, F.lit(0).alias("depth"))
+    if not depth:
+        return direct
+    return direct.unionByName(spark.read.schema(f"{schema}, depth int").parquet(inherited))
+
+
+def orphan_references(
     edges: DataFrame, memory: DataFrame, symbols: DataFrame, scopes: DataFrame, files: DataFrame, files_snap: DataFrame
 ) -> DataFrame:
-    """References without their record: columns FOUND, each case once.
+    """FOUND and ``depth`` of all orphan references of all tables: direct ones (0), and those that hang on an orphan.
 
-    Symbols and scopes are judged at the time of the reference, files against ``files`` as it stands. References are
-    pruned to four columns before any shuffle, and those to hot targets are never shuffled (``lookup_join``). Rows
-    with null keys, empty lists and empty tables give no cases (an empty target table makes all its references
-    missing).
+    Rows with null keys, empty lists and empty tables give no cases (an empty target table makes all its references
+    missing). Inherited ones have no reason of their own.
     """
-    refs = references(edges, memory)
-    scope_key = cut("id")
-    lives = {
-        "symbol": lifetimes(symbols, norm_key("symbol_id"), "first_seen_at", "removed_at"),
-        "scope": lifetimes(scopes, F.when(scope_key != "", scope_key), "created_at", "removed_at"),
-    }
-    timed = [
-        lookup_join(refs[kind], lives[kind], ["ref"])
-        .withColumn("reason", judged(F.col("lives"), F.col("t")))
-        .where("reason is not null")
-        .select("src", "src_key", "field", "ref", "reason", "t")
-        for kind in ("symbol", "scope")
-    ]
-    listed = files.select("repo", norm_path("path").alias("ref")).where("ref is not null").distinct()
-    once = files_snap.select("repo", norm_path("path").alias("ref")).where("ref is not null").distinct()
-    absent = refs["file"].join(listed, ["repo", "ref"], "left_anti")
-    lost = absent.join(once.withColumn("_was", F.lit(True)), ["repo", "ref"], "left").select(
-        "src", "src_key", "field", "ref", F.when(F.col("_was"), "deleted").otherwise("missing").alias("reason"), "t"
-    )
-    cases = reduce(DataFrame.unionByName, [*timed, lost])
-    return cases.withColumn("period", F.date_format("t", "yyyy-MM")).select(*FOUND).distinct()
+    refs = references(edges, memory, symbols, scopes)
+    cases = cascade(judged_references(refs, symbols, scopes, files, files_snap), ("edges", "memory_rev"))
+    return cases.withColumn("period", F.date_format("t", "yyyy-MM")).select(*FOUND, "depth").distinct()
+
+
+def direct_orphans(cases: DataFrame) -> DataFrame:
+    """The direct orphans of the reported references: what edges point to, and what memory records name."""
+    return cases.where("depth = 0 and (src = 'memory_rev' or field = 'target_symbol')").select(*FOUND)
 
 
 def by_table_and_period(cases: DataFrame) -> DataFrame:
@@ -106,79 +155,7 @@ def by_table_and_period(cases: DataFrame) -> DataFrame:
     return cases.groupBy("src", "field", "reason", "period").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cascade(refs: DataFrame, direct: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """All orphaned nodes with the round that found them: (kind, key, depth); depth 0 is direct, others inherited.
-
-    ``refs`` is the foreign-key graph as (kind, key, parent_kind, parent_key), ``direct`` the nodes (kind, key) that
-    refer to nothing. Each round semi-joins the graph with the last round's nodes; it ends when none is new, so cycles
-    end too. Rounds are written to the shared folder.
-    """
-    refs = materialize(refs.where("key is not null and parent_key is not null").distinct(), "fk")
-    known = materialize(direct.where("key is not null").distinct().withColumn("depth", F.lit(0)), "depth0")
-    last = known
-    for depth in range(1, max_rounds + 1):
-        parents = last.select(F.col("kind").alias("parent_kind"), F.col("key").alias("parent_key"))
-        new = (
-            refs.join(parents, ["parent_kind", "parent_key"], "left_semi").select("kind", "key").distinct()
-            .join(known, ["kind", "key"], "left_anti").withColumn("depth", F.lit(depth))
-        )
-        last = materialize(new, f"depth{depth}")
-        if last.isEmpty():
-            return known
-        known = known.unionByName(last)
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-
-
-def orphan_cascade(
-    edges: DataFrame, memory: DataFrame, symbols: DataFrame, scopes: DataFrame, files: DataFrame, files_snap: DataFrame
-) -> DataFrame:
-    """Per table and period: records that are orphans themselves, and those that hang on an orphan.
-
-    Parents: symbol -> its file, scope -> its member files and symbols, edge -> both its symbols, memory record -> its
-    scopes, symbols and files. A symbol or scope is a direct orphan where a file or symbol it names is in no listing.
-    """
-    sym = symbols.select(norm_key("symbol_id").alias("key"), "repo", norm_path("file").alias("ref"), F.col("first_seen_at").alias("t"))
-    listed = files.select("repo", norm_path("path").alias("ref")).where("ref is not null").distinct()
-    members = scopes.select(cut("id").alias("key"), "repo", "members", F.col("created_at").alias("t"))
-    member_files = members.select("key", "repo", "t", F.explode("members.files").alias("raw")).withColumn("ref", norm_path("raw"))
-    member_syms = members.select("key", "t", F.explode("members.symbols").alias("raw")).withColumn("ref", norm_key("raw"))
-    known_syms = sym.select(F.col("key").alias("ref")).where("ref is not null").distinct()
-    mem = direct_orphans(edges, memory, symbols, scopes, files, files_snap)
-    lost_files = sym.select(F.lit("symbol").alias("kind"), "key", "repo", "ref").unionByName(
-        member_files.select(F.lit("scope").alias("kind"), "key", "repo", "ref")
-    )
-    direct = (
-        lost_files.where("ref is not null").join(listed, ["repo", "ref"], "left_anti").select("kind", "key")
-        .unionByName(member_syms.where("ref is not null").join(known_syms, "ref", "left_anti").select(F.lit("scope").alias("kind"), "key"))
-        .unionByName(mem.select(F.when(F.col("src") == "edges", "edge").otherwise("memory").alias("kind"), F.col("src_key").alias("key")))
-    )
-    versions = memory_versions(memory)
-    edge_syms = edges.select(
-        F.col("edge_id").cast("string").alias("key"),
-        F.explode(F.array(norm_key("source_symbol"), norm_key("target_symbol"))).alias("parent_key"),
-    )
-    bound = versions.select(F.col("src_key").alias("key"), F.explode("scopes").alias("scope"))
-    bound2 = versions.select(F.col("src_key").alias("key"), F.explode("symbols").alias("symbol"))
-    fk = (
-        edge_syms.select(F.lit("edge").alias("kind"), "key", F.lit("symbol").alias("parent_kind"), "parent_key")
-        .unionByName(member_syms.select(F.lit("scope").alias("kind"), "key", F.lit("symbol").alias("parent_kind"), F.col("ref").alias("parent_key")))
-        .unionByName(bound.select(F.lit("memory").alias("kind"), "key", F.lit("scope").alias("parent_kind"), cut("scope").alias("parent_key")))
-        .unionByName(bound2.select(F.lit("memory").alias("kind"), "key", F.lit("symbol").alias("parent_kind"), norm_key("symbol").alias("parent_key")))
-    )
-    found = cascade(fk, direct)
-    times = (
-        sym.select(F.lit("symbol").alias("kind"), "key", "t")
-        .unionByName(members.select(F.lit("scope").alias("kind"), "key", "t"))
-        .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("edge_id").cast("string").alias("key"), F.col("indexed_at").alias("t")))
-        .unionByName(versions.select(F.lit("memory").alias("kind"), F.col("src_key").alias("key"), "t"))
-        .groupBy("kind", "key").agg(F.min("t").alias("t"))
-    )
-    return (
-        found.join(times, ["kind", "key"], "left")
-        .groupBy(F.col("kind").alias("source"), F.date_format("t", "yyyy-MM").alias("period"))
-        .agg(
-            F.count_if(F.col("depth") == 0).alias("direct"),
-            F.count_if(F.col("depth") > 0).alias("inherited"),
-            F.max("depth").alias("deepest"),
-        )
-    )
+def direct_and_inherited(cases: DataFrame) -> DataFrame:
+    """Per table, field and month: direct and inherited orphan references, and the longest way down from a direct one."""
+    n = [F.count_if(F.col("depth") == 0).alias("direct"), F.count_if(F.col("depth") > 0).alias("inherited"), F.max("depth").alias("deepest")]
+    return cases.groupBy("src", "field", "period").agg(*n)

@@ -29,7 +29,7 @@ def _tables(spark: SparkSession, base: str) -> list[DataFrame]:
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """References without their record."""
-    return orphans.direct_orphans(*_tables(spark, base))
+    return orphans.direct_orphans(orphans.orphan_references(*_tables(spark, base)))
 
 
 def p6_by_period(spark: SparkSession, base: str) -> DataFrame:
@@ -38,8 +38,8 @@ def p6_by_period(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_cascade(spark: SparkSession, base: str) -> DataFrame:
-    """Direct and inherited orphans per table and month."""
-    return orphans.orphan_cascade(*_tables(spark, base))
+    """Direct and inherited orphan references per table, field and month."""
+    return orphans.direct_and_inherited(orphans.orphan_references(*_tables(spark, base)))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_change_counts, p5_found, p6_found, p6_by_period, p6_cascade)}
@@ -115,10 +115,46 @@ SELECT 'memory_rev', src_key, 'files', f.ref, CASE WHEN o.ref IS NULL THEN 'miss
 FROM f ANTI JOIN now_ n ON n.repo = f.repo AND n.ref = f.ref LEFT JOIN once o ON o.repo = f.repo AND o.ref = f.ref WHERE f.ref IS NOT NULL
 """
 
+_P6_CASCADE = f"""
+WITH RECURSIVE mem AS (
+  SELECT rid || '#' || revision k, repo, scopes, files, symbols, created_at::timestamp t FROM (
+    SELECT *, lower(trim(record_id)) rid, row_number() OVER (PARTITION BY lower(trim(record_id)), revision ORDER BY feed_seq DESC) n FROM memory_rev) WHERE n = 1),
+sc AS (SELECT trim(id) k, repo, created_at::timestamp t, members FROM scopes WHERE removed_at IS NULL),
+refs AS (SELECT DISTINCT * FROM (
+  SELECT 'edges' src, edge_id::varchar k, 'target_symbol' field, 'symbols' parent, lower(trim(target_symbol)) ref, repo, indexed_at::timestamp t FROM edges
+  UNION ALL SELECT 'edges', edge_id::varchar, 'source_symbol', 'symbols', lower(trim(source_symbol)), repo, indexed_at::timestamp FROM edges
+  UNION ALL SELECT 'memory_rev', k, 'symbols', 'symbols', lower(trim(r)), repo, t FROM (SELECT k, repo, t, unnest(symbols) r FROM mem)
+  UNION ALL SELECT 'memory_rev', k, 'scopes', 'scopes', trim(r), repo, t FROM (SELECT k, repo, t, unnest(scopes) r FROM mem)
+  UNION ALL SELECT 'memory_rev', k, 'files', 'files', {_npath("r")}, repo, t FROM (SELECT k, repo, t, unnest(files) r FROM mem)
+  UNION ALL SELECT 'scopes', k, 'members.symbols', 'symbols', lower(trim(r)), repo, t FROM (SELECT k, repo, t, unnest(members.symbols) r FROM sc)
+  UNION ALL SELECT 'scopes', k, 'members.files', 'files', {_npath("r")}, repo, t FROM (SELECT k, repo, t, unnest(members.files) r FROM sc)
+  UNION ALL SELECT 'symbols', lower(trim(symbol_id)), 'file', 'files', {_npath("file")}, repo, first_seen_at::timestamp FROM symbols WHERE removed_at IS NULL)
+  WHERE ref <> '' AND k <> ''),
+lives AS (
+  SELECT 'symbols' parent, lower(trim(symbol_id)) ref, first_seen_at s, removed_at e FROM symbols
+  UNION SELECT 'scopes', trim(id), created_at, removed_at FROM scopes),
+timed AS (
+  SELECT r.src, r.k, r.field, r.parent, r.ref, r.t, coalesce(bool_or(l.s <= t AND (l.e IS NULL OR t < l.e)), false) sound
+  FROM refs r LEFT JOIN lives l ON l.ref = r.ref AND l.parent = r.parent WHERE r.parent <> 'files' GROUP BY ALL),
+now_ AS (SELECT DISTINCT repo, {_npath("path")} ref, true sound FROM files),
+j AS (
+  SELECT src, k, field, parent, ref, t, sound FROM timed
+  UNION ALL SELECT r.src, r.k, r.field, r.parent, r.ref, r.t, coalesce(n.sound, false) FROM refs r LEFT JOIN now_ n ON n.repo = r.repo AND n.ref = r.ref WHERE r.parent = 'files'),
+orphan(parent, ref, depth) AS (
+  SELECT DISTINCT src, k, 0 FROM j WHERE NOT sound
+  UNION SELECT j.src, j.k, o.depth + 1 FROM j JOIN orphan o ON j.parent = o.parent AND j.ref = o.ref WHERE j.sound),
+least AS (SELECT parent, ref, min(depth) depth FROM orphan GROUP BY 1, 2),
+cases AS (
+  SELECT DISTINCT src, k, field, ref, strftime(t, '%Y-%m') period, 0 depth FROM j WHERE NOT sound
+  UNION SELECT DISTINCT j.src, j.k, j.field, j.ref, strftime(j.t, '%Y-%m'), l.depth + 1 FROM j JOIN least l ON l.parent = j.parent AND l.ref = j.ref WHERE j.sound)
+SELECT src, field, period, count(*) FILTER (depth = 0) AS direct, count(*) FILTER (depth > 0) AS inherited, max(depth) AS deepest FROM cases GROUP BY 1, 2, 3
+"""
+
 ORACLE = {
     "p2_found": _P2,
     "p2_change_counts": f"SELECT snapshot_no, repo, change, count(*) AS n FROM ({_P2}) GROUP BY ALL",
     "p5_found": _P5,
     "p6_found": _P6,
+    "p6_cascade": _P6_CASCADE,
     "p6_by_period": f"SELECT src, field, reason, period, count(*) AS n FROM ({_P6}) GROUP BY ALL",
 }
