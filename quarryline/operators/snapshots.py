@@ -1,9 +1,10 @@
 """What changed between full snapshots, found by subtracting invertible Bloom lookup tables.
 
-A listing becomes (path hash, content hash) pairs. Each bucket of a unit's pairs is summed up in a table of cells
-(count and xors); the tables of consecutive scans are subtracted cell by cell, so equal rows cancel before they are
-shuffled a second time, and the pairs that differ are peeled out of what remains. Buckets that don't peel get larger
-tables, and those that fail even then are compared row by row.
+Rows are shuffled once, to the hash bucket of their path: all else happens where a bucket lies. There its readings are
+reduced to one state per scan and path, the (path hash, content hash) pairs of each scan are summed up in a table of
+cells (count and xors), the tables of consecutive scans are subtracted cell by cell, so that equal rows cancel, and the
+pairs that differ are peeled out of what remains and named. Buckets that don't peel get larger tables, and those that
+fail even then are compared row by row.
 """
 
 from __future__ import annotations
@@ -38,58 +39,58 @@ def scan_order(scans: DataFrame) -> DataFrame:
     )
 
 
-def scanned_states(snap: DataFrame, order: DataFrame) -> DataFrame:
-    """The state after each scan: (unit, repo, idx, path, p, h) with 64-bit hashes of path and content.
+def bucketed(snap: DataFrame, order: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Readings as (unit, bucket, idx, path, t, h), each bucket in one place; ``failed`` (unit, bucket) leaves only some.
 
-    Of a path's rows the latest reading counts (of equal times the one with the greater hash). Where the scan could
-    not read a path, it keeps the state of the scan before, through any number of such scans.
+    A unit has a bucket for so many rows of its largest scan. A path that the scan could not read is a reading without
+    hash, later than all others.
     """
     digest = F.regexp_replace(F.lower(F.trim("content_hash")), "^sha256:", "")
-    rows = snap.select(
-        "scan_id", norm_path("path").alias("path"),
-        F.struct(F.expr("try_to_timestamp(indexed_at)").alias("t"), F.when(digest != "", F.xxhash64(digest)).alias("h")).alias("r"),
-    ).where("path is not null")
-    listed = rows.join(order.select("scan_id", "unit", "idx"), "scan_id").select("unit", "idx", "path", "r", F.lit(False).alias("blind"))
-    blind = (
-        order.select("unit", "idx", F.explode("unreadable_paths").alias("raw")).withColumn("path", norm_path("raw"))
-        .where("path is not null").select("unit", "idx", "path", F.lit(None).cast(listed.schema["r"].dataType).alias("r"), F.lit(True).alias("blind"))
-    )
-    # the reading that counts may have a null hash, so the struct's maximum is taken whole
-    seen = listed.unionByName(blind).groupBy("unit", "idx", "path").agg(F.max("r").alias("r"), F.max("blind").alias("blind"))
-    seen = seen.select("unit", "idx", "path", F.when(~F.col("blind"), F.col("r.h")).alias("h"))
-    key = Window.partitionBy("unit", "path").orderBy("idx")
-    runs = seen.withColumn("run", F.col("idx") - F.row_number().over(key))
-    kept = F.last("h", ignorenulls=True).over(Window.partitionBy("unit", "path", "run").orderBy("idx"))
-    states = runs.select("unit", "idx", "path", kept.alias("h")).where("h is not null")
-    return states.withColumn("p", F.xxhash64("path"))
+    places = order.select("scan_id", "unit", "idx", "unreadable_paths")
+    per_scan = snap.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).join(places, "scan_id")
+    buckets = per_scan.groupBy("unit").agg(F.ceil(F.max("n") / BUCKET_ROWS).alias("buckets"))
+    places = places.join(buckets, "unit", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
+    at = F.unix_micros(F.expr("try_to_timestamp(indexed_at)"))
+    listed = snap.select("scan_id", norm_path("path").alias("path"), at.alias("t"), F.when(digest != "", F.xxhash64(digest)).alias("h"))
+    listed = listed.join(places.drop("unreadable_paths"), "scan_id").select("unit", "buckets", "idx", "path", "t", "h")
+    blind = places.select("unit", "buckets", "idx", F.explode("unreadable_paths").alias("raw")).withColumn("path", norm_path("raw"))
+    blind = blind.select("unit", "buckets", "idx", "path", F.lit((1 << 63) - 1).alias("t"), F.lit(None).cast("long").alias("h"))
+    rows = listed.unionByName(blind).where("path is not null")
+    rows = rows.select("unit", F.pmod(F.xxhash64("path"), F.col("buckets")).alias("bucket"), "idx", "path", "t", "h")
+    if failed is not None:
+        rows = rows.join(failed, ["unit", "bucket"], "left_semi")
+    return rows.repartition("unit", "bucket")
+
+
+def scanned_states(rows: DataFrame) -> DataFrame:
+    """The state after each scan: (unit, bucket, idx, path, h) with 64-bit hashes of the content. Shuffles nothing.
+
+    Of a path's rows the latest reading counts (of equal times the one with the greater hash). Where that has no hash,
+    the path keeps the state of the scan before, through any number of such scans.
+    """
+    seen = rows.groupBy("unit", "bucket", "idx", "path").agg(F.max(F.struct("t", "h")).alias("r"))
+    key = ["unit", "bucket", "path"]
+    runs = seen.select(*key, "idx", "r.h", (F.col("idx") - F.row_number().over(Window.partitionBy(*key).orderBy("idx"))).alias("run"))
+    kept = F.last("h", ignorenulls=True).over(Window.partitionBy(*key, "run").orderBy("idx"))
+    return runs.select(*key, "idx", kept.alias("h")).where("h is not null")
 
 
-def _cells(rows: DataFrame, part: int) -> DataFrame:
-    """Subtracted tables, a row per bucket of a pair of scans, with the cells that are not zero.
+def subtracted(states: DataFrame, order: DataFrame, part: int) -> DataFrame:
+    """(unit, bucket, cells): the cells that are not zero of all pairs of scans, and as pair 0 the paths. Shuffles nothing.
 
-    ``rows`` either hold every state once, then a scan is the later side of its own pair and the earlier side of the
-    next (up to ``last_idx``), or have a column ``pair`` and hold just the two sides of some pairs.
+    A state is on the later side of its own scan's pair and on the earlier side of the next.
     """
-    xors = [F.bit_xor(x).alias(x) for x in "phc"]
+    last = order.groupBy("unit").agg(F.max("idx").alias("last_idx"))
     c = F.xxhash64("p", "h")
-    spots = [(F.lit(j * part) + F.pmod(F.shiftrightunsigned("c", 21 * j).bitwiseAND(F.lit((1 << 21) - 1)), F.lit(part))).cast("int") for j in range(3)]
-    by = ["unit", "bucket", "idx", "pair"] if "pair" in rows.columns else ["unit", "bucket", "idx", "last_idx"]
-    cells = (
-        rows.select(*by, "p", "h", c.alias("c"))
-        .select(*by, "p", "h", "c", F.explode(F.array(*spots)).alias("cell"))
-        .groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"), *xors)
-    )
-    if "pair" in by:
-        apart = cells.withColumn("n", F.when(F.col("idx") == F.col("pair"), F.col("n")).otherwise(-F.col("n")))
-    else:
-        sides = F.array(F.struct(F.col("idx").alias("pair"), F.col("n").alias("n")), F.struct((F.col("idx") + 1).alias("pair"), (-F.col("n")).alias("n")))
-        apart = cells.select("unit", "bucket", "cell", "last_idx", "p", "h", "c", F.explode(sides).alias("side"))
-        apart = apart.select("unit", "bucket", "cell", "side.pair", "side.n", "p", "h", "c", "last_idx").where("pair > 1 and pair <= last_idx")
-    apart = apart.groupBy("unit", "bucket", "cell", "pair").agg(F.sum("n").alias("n"), *xors)
-    return (
-        apart.where("n != 0 or p != 0 or h != 0 or c != 0").groupBy("unit", "pair", "bucket")
-        .agg(F.collect_list(F.struct("cell", "n", *"phc")).alias("cells"))
-    )
+    spots = [F.lit(j * part) + F.pmod(F.shiftrightunsigned("c", 21 * j).bitwiseAND(F.lit((1 << 21) - 1)), F.lit(part)) for j in range(3)]
+    none = F.lit(None).cast("string")
+    entries = [F.struct((F.col("idx") + later).alias("pair"), F.lit(1 - 2 * later).alias("n"), spot.cast("int").alias("cell"), none.alias("path")) for later in (0, 1) for spot in spots]
+    entries.append(F.struct(F.lit(0).alias("pair"), F.lit(1).alias("n"), F.lit(0).alias("cell"), F.col("path").alias("path")))
+    pairs = states.select("unit", "bucket", "idx", "path", F.xxhash64("path").alias("p"), "h").withColumn("c", c)
+    apart = pairs.select("unit", "bucket", "p", "h", "c", F.explode(F.array(*entries)).alias("e")).select("unit", "bucket", "p", "h", "c", "e.*")
+    cells = apart.groupBy("unit", "bucket", "pair", "cell", "path").agg(F.sum("n").cast("int").alias("n"), *(F.bit_xor(x).alias(x) for x in "phc"))
+    kept = cells.where("path is not null or pair > 1 and (n != 0 or p != 0 or h != 0 or c != 0)").join(last, "unit").where("pair <= last_idx")
+    return kept.groupBy("unit", "bucket").agg(F.collect_list(F.struct("pair", "cell", "n", *"phc", "path")).alias("cells"))
 
 
 def peel(cells: list[dict], part: int) -> tuple[list[tuple[int, int, int]], bool]:
@@ -119,55 +120,69 @@ def peel(cells: list[dict], part: int) -> tuple[list[tuple[int, int, int]], bool
     return out, not any(any(x) for x in at.values())
 
 
-def _peeled(cells: DataFrame, part: int) -> DataFrame:
+def _peeled(tables: DataFrame, part: int) -> DataFrame:
+    """(unit, bucket, pair, path, change, ok): the changes of every pair of scans; one row that is not ok for a table that doesn't peel."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
-            rows: dict[str, list] = {k: [] for k in ("unit", "pair", "bucket", "p", "sign", "ok")}
+            out: list[tuple] = []
             for r in b.to_pylist():
-                got, ok = peel(r["cells"], part)
-                for p, _, s in got if ok else [(0, 0, 0)]:
-                    for k, v in (("unit", r["unit"]), ("pair", r["pair"]), ("bucket", r["bucket"]), ("p", signed(p)), ("sign", s), ("ok", ok)):
-                        rows[k].append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
-
-    return cells.mapInArrow(run, "unit long, pair int, bucket long, p long, sign int, ok boolean")
-
-
-def changed_between(snap: DataFrame, scans: DataFrame) -> DataFrame:
+                names: dict[int, str] = {}
+                by_pair: dict[int, list[dict]] = {}
+                for x in r["cells"]:
+                    if x["path"] is None:
+                        by_pair.setdefault(x["pair"], []).append(x)
+                    else:
+                        names[xxhash.xxh64_intdigest(x["path"].encode(), 42)] = x["path"]
+                for pair, cells in by_pair.items():
+                    got, ok = peel(cells, part)
+                    if not ok:
+                        out.append((r["unit"], r["bucket"], pair, None, None, False))
+                        continue
+                    signs: dict[int, set[int]] = {}
+                    for p, _, sign in got:
+                        signs.setdefault(p, set()).add(sign)
+                    out += [(r["unit"], r["bucket"], pair, names[p], "modified" if len(s) > 1 else "added" if 1 in s else "removed", True) for p, s in signs.items()]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["unit", "bucket", "pair", "path", "change", "ok"])
+
+    return tables.mapInArrow(run, "unit long, bucket long, pair int, path string, change string, ok boolean")
+
+
+def _row_by_row(states: DataFrame, failed: DataFrame) -> DataFrame:
+    """The changes of the failed pairs of scans, from their rows."""
+    late = states.join(failed, ["unit", "bucket"]).where("idx = pair or idx = pair - 1")
+    new, old = F.max(F.when(F.col("idx") == F.col("pair"), F.col("h"))), F.max(F.when(F.col("idx") < F.col("pair"), F.col("h")))
+    sides = late.groupBy("unit", "bucket", "pair", "path").agg(new.alias("new"), old.alias("old")).where("not new <=> old")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
+    return sides.select("unit", "pair", "path", kind.alias("change"))
+
+
+def changed_between(snap: DataFrame, scans: DataFrame, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """(snapshot_no, repo, path, change): added, modified and removed paths between consecutive scans of a unit.
 
     Missing scans are passed over and the first scan of a unit gives nothing. Empty tables give no rows; a scan without
     rows is an empty listing. Times and sizes don't matter, null paths are no paths.
     """
     order = materialize(scan_order(scans), "order")
-    states = materialize(scanned_states(snap, order), "states")
-    last = order.groupBy("unit").agg(F.max("idx").alias("last_idx"))
-    sizes = states.groupBy("unit", "idx").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max("n").alias("n"))
-    units = last.join(sizes, "unit").select("unit", F.col("last_idx"), F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    keyed = states.join(units, "unit").withColumn("bucket", F.pmod(F.col("p"), F.col("buckets"))).drop("buckets")
-    todo, found = keyed, None
-    for k, part in enumerate(PARTS):
-        got = materialize(_peeled(_cells(todo, part), part), f"peeled{k}")
-        good = got.where("ok").select("unit", "pair", "p", "sign")
+    found = failed = None
+    for k, part in enumerate(parts):
+        states = scanned_states(bucketed(snap, order, None if failed is None else failed.select("unit", "bucket").distinct()))
+        got = _peeled(subtracted(states, order, part), part)
+        if failed is not None:
+            got = got.join(failed, ["unit", "bucket", "pair"], "left_semi")
+        got = materialize(got, f"peeled{k}")
+        good = got.where("ok").select("unit", "pair", "path", "change")
         found = good if found is None else found.unionByName(good)
-        failed = got.where("not ok").select("unit", "pair", "bucket")
+        failed = got.where("not ok").select("unit", "bucket", "pair")
         if failed.isEmpty():
             break
-        scans_of = failed.select("unit", "bucket", F.explode(F.array(F.col("pair"), F.col("pair") - 1)).alias("idx"), "pair")
-        todo = keyed.join(scans_of, ["unit", "bucket", "idx"])
     else:
-        sides = todo.select("unit", "pair", "p", "h", F.when(F.col("idx") == F.col("pair"), 1).otherwise(-1).alias("sign"))
-        exact = sides.groupBy("unit", "pair", "p", "h").agg(F.sum("sign").alias("sign")).where("sign != 0").drop("h")
-        found = found.unionByName(exact)
-    changes = found.groupBy("unit", "pair", "p").agg(F.max("sign").alias("up"), F.min("sign").alias("down"))
-    kind = F.when(F.col("down") > 0, "added").when(F.col("up") < 0, "removed").otherwise("modified")
-    where = F.col("pair") - F.when(F.col("up") < 0, 1).otherwise(0)
-    named = changes.select("unit", "pair", where.alias("idx"), "p", kind.alias("change")).join(states.select("unit", "idx", "p", "path"), ["unit", "idx", "p"])
+        rest = scanned_states(bucketed(snap, order, failed.select("unit", "bucket").distinct()))
+        found = found.unionByName(_row_by_row(rest, failed))
     labels = order.select("unit", F.col("idx").alias("pair"), "snapshot_no", "repo")
     # roots of one repository may overlap
-    return named.join(labels, ["unit", "pair"]).select("snapshot_no", "repo", "path", "change").distinct()
+    return found.join(labels, ["unit", "pair"]).select("snapshot_no", "repo", "path", "change").distinct()
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -82,10 +82,9 @@ def made(seed, n=60):
 
 
 @pytest.mark.parametrize("parts", [(16, 64, 256), (1, 2, 64), (1,)])
-def test_against_loop(spark, monkeypatch, parts):
-    monkeypatch.setattr(snapshots, "PARTS", parts)
+def test_against_loop(spark, parts):
     snap, scans = made(len(parts))
-    got = snapshots.changed_between(spark.createDataFrame(snap, SNAP), spark.createDataFrame(scans, SCANS))
+    got = snapshots.changed_between(spark.createDataFrame(snap, SNAP), spark.createDataFrame(scans, SCANS), parts)
     assert rows(got, "snapshot_no", "repo", "path", "change") == plain(snap, scans)
 
 
