@@ -117,6 +117,14 @@ def norm_path(c: Column | str) -> Column:
     return F.when((p != "") & (p != "."), p)
 
 
+def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, to be broadcast if it is counted to have no more than ``rows`` rows; beyond that Spark takes its ordinary join.
+
+    Meant for narrow tables that were written before, where the count reads no data.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     """Keys that hold more than one ``share``-th of the rows of ``df``: never more than ``share`` rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

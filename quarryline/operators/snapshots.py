@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.common import materialize, norm_path
+from quarryline.common import materialize, norm_path, sized
 
 #: Pairs per bucket that are aimed at, and cells of each of a table's three parts, by attempt.
-BUCKET_ROWS, PARTS = 128, (16, 64, 256)
+BUCKET_ROWS, PARTS = 128, (64, 512)
 _MASK = (1 << 64) - 1
 
 
@@ -39,26 +39,29 @@ def scan_order(scans: DataFrame) -> DataFrame:
     )
 
 
-def bucketed(snap: DataFrame, order: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+def numbered(snap: DataFrame, order: DataFrame) -> DataFrame:
+    """(scan_id, unit, idx, buckets, last_idx): a unit has a bucket for so many rows of its largest scan."""
+    per_scan = snap.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = order.join(per_scan, "scan_id", "left").groupBy("unit")
+    units = sizes.agg(F.ceil(F.coalesce(F.max("n"), F.lit(1)) / BUCKET_ROWS).alias("buckets"), F.max("idx").alias("last_idx"))
+    return order.select("scan_id", "unit", "idx").join(units, "unit").select("scan_id", "unit", "idx", "buckets", "last_idx")
+
+
+def bucketed(snap: DataFrame, order: DataFrame, places: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Readings as (unit, bucket, idx, path, t, h), each bucket in one place; ``failed`` (unit, bucket) leaves only some.
 
-    A unit has a bucket for so many rows of its largest scan. A path that the scan could not read is a reading without
-    hash, later than all others.
+    A path that the scan could not read is a reading without hash, later than all others.
     """
     digest = F.regexp_replace(F.lower(F.trim("content_hash")), "^sha256:", "")
-    places = order.select("scan_id", "unit", "idx", "unreadable_paths")
-    per_scan = snap.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).join(places, "scan_id")
-    buckets = per_scan.groupBy("unit").agg(F.ceil(F.max("n") / BUCKET_ROWS).alias("buckets"))
-    places = places.join(buckets, "unit", "left").withColumn("buckets", F.coalesce("buckets", F.lit(1)))
     at = F.unix_micros(F.expr("try_to_timestamp(indexed_at)"))
     listed = snap.select("scan_id", norm_path("path").alias("path"), at.alias("t"), F.when(digest != "", F.xxhash64(digest)).alias("h"))
-    listed = listed.join(places.drop("unreadable_paths"), "scan_id").select("unit", "buckets", "idx", "path", "t", "h")
-    blind = places.select("unit", "buckets", "idx", F.explode("unreadable_paths").alias("raw")).withColumn("path", norm_path("raw"))
+    listed = listed.join(sized(places), "scan_id").select("unit", "buckets", "idx", "path", "t", "h")
+    blind = order.select("scan_id", F.explode("unreadable_paths").alias("raw")).join(places, "scan_id").withColumn("path", norm_path("raw"))
     blind = blind.select("unit", "buckets", "idx", "path", F.lit((1 << 63) - 1).alias("t"), F.lit(None).cast("long").alias("h"))
     rows = listed.unionByName(blind).where("path is not null")
     rows = rows.select("unit", F.pmod(F.xxhash64("path"), F.col("buckets")).alias("bucket"), "idx", "path", "t", "h")
     if failed is not None:
-        rows = rows.join(failed, ["unit", "bucket"], "left_semi")
+        rows = rows.join(sized(failed), ["unit", "bucket"], "left_semi")
     return rows.repartition("unit", "bucket")
 
 
@@ -75,12 +78,12 @@ def scanned_states(rows: DataFrame) -> DataFrame:
     return runs.select(*key, "idx", kept.alias("h")).where("h is not null")
 
 
-def subtracted(states: DataFrame, order: DataFrame, part: int) -> DataFrame:
+def subtracted(states: DataFrame, places: DataFrame, part: int) -> DataFrame:
     """(unit, bucket, cells): the cells that are not zero of all pairs of scans, and as pair 0 the paths. Shuffles nothing.
 
     A state is on the later side of its own scan's pair and on the earlier side of the next.
     """
-    last = order.groupBy("unit").agg(F.max("idx").alias("last_idx"))
+    last = places.select("unit", "last_idx").distinct()
     c = F.xxhash64("p", "h")
     spots = [F.lit(j * part) + F.pmod(F.shiftrightunsigned("c", 21 * j).bitwiseAND(F.lit((1 << 21) - 1)), F.lit(part)) for j in range(3)]
     none = F.lit(None).cast("string")
@@ -89,7 +92,7 @@ def subtracted(states: DataFrame, order: DataFrame, part: int) -> DataFrame:
     pairs = states.select("unit", "bucket", "idx", "path", F.xxhash64("path").alias("p"), "h").withColumn("c", c)
     apart = pairs.select("unit", "bucket", "p", "h", "c", F.explode(F.array(*entries)).alias("e")).select("unit", "bucket", "p", "h", "c", "e.*")
     cells = apart.groupBy("unit", "bucket", "pair", "cell", "path").agg(F.sum("n").cast("int").alias("n"), *(F.bit_xor(x).alias(x) for x in "phc"))
-    kept = cells.where("path is not null or pair > 1 and (n != 0 or p != 0 or h != 0 or c != 0)").join(last, "unit").where("pair <= last_idx")
+    kept = cells.where("path is not null or pair > 1 and (n != 0 or p != 0 or h != 0 or c != 0)").join(sized(last), "unit").where("pair <= last_idx")
     return kept.groupBy("unit", "bucket").agg(F.collect_list(F.struct("pair", "cell", "n", *"phc", "path")).alias("cells"))
 
 
@@ -151,7 +154,7 @@ def _peeled(tables: DataFrame, part: int) -> DataFrame:
 
 def _row_by_row(states: DataFrame, failed: DataFrame) -> DataFrame:
     """The changes of the failed pairs of scans, from their rows."""
-    late = states.join(failed, ["unit", "bucket"]).where("idx = pair or idx = pair - 1")
+    late = states.join(sized(failed), ["unit", "bucket"]).where("idx = pair or idx = pair - 1")
     new, old = F.max(F.when(F.col("idx") == F.col("pair"), F.col("h"))), F.max(F.when(F.col("idx") < F.col("pair"), F.col("h")))
     sides = late.groupBy("unit", "bucket", "pair", "path").agg(new.alias("new"), old.alias("old")).where("not new <=> old")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
@@ -165,24 +168,25 @@ def changed_between(snap: DataFrame, scans: DataFrame, parts: tuple[int, ...] =
     rows is an empty listing. Times and sizes don't matter, null paths are no paths.
     """
     order = materialize(scan_order(scans), "order")
+    places = materialize(numbered(snap, order), "places")
     found = failed = None
     for k, part in enumerate(parts):
-        states = scanned_states(bucketed(snap, order, None if failed is None else failed.select("unit", "bucket").distinct()))
-        got = _peeled(subtracted(states, order, part), part)
+        states = scanned_states(bucketed(snap, order, places, None if failed is None else failed.select("unit", "bucket").distinct()))
+        got = _peeled(subtracted(states, places, part), part)
         if failed is not None:
-            got = got.join(failed, ["unit", "bucket", "pair"], "left_semi")
+            got = got.join(sized(failed), ["unit", "bucket", "pair"], "left_semi")
         got = materialize(got, f"peeled{k}")
         good = got.where("ok").select("unit", "pair", "path", "change")
         found = good if found is None else found.unionByName(good)
-        failed = got.where("not ok").select("unit", "bucket", "pair")
+        failed = materialize(got.where("not ok").select("unit", "bucket", "pair"), f"failed{k}")
         if failed.isEmpty():
             break
     else:
-        rest = scanned_states(bucketed(snap, order, failed.select("unit", "bucket").distinct()))
+        rest = scanned_states(bucketed(snap, order, places, failed.select("unit", "bucket").distinct()))
         found = found.unionByName(_row_by_row(rest, failed))
     labels = order.select("unit", F.col("idx").alias("pair"), "snapshot_no", "repo")
     # roots of one repository may overlap
-    return found.join(labels, ["unit", "pair"]).select("snapshot_no", "repo", "path", "change").distinct()
+    return found.join(sized(labels), ["unit", "pair"]).select("snapshot_no", "repo", "path", "change").distinct()
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
