@@ -198,11 +198,12 @@ def shared_share(read: DataFrame) -> DataFrame:
     return lookup_join(leaf.drop("repo"), many, ["h"], "left_semi").groupBy("file_id").agg(F.sum("n").alias("shared"))
 
 
-def packages(read: DataFrame, shared: DataFrame) -> DataFrame:
-    """(package): folder names below a holder folder that lie in several repositories with at least one third-party file."""
-    held = _held(read).join(shared, "file_id", "left")
-    proof = (F.col("why") == "third-party") | (F.coalesce(F.col("shared"), F.lit(0)) >= SHARED * F.col("size")) & (F.col("size") > 0)
-    return held.groupBy("package").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.max(proof).alias("proof")).where("proof and a != b").select("package")
+def packages(read: DataFrame, proven: DataFrame) -> DataFrame:
+    """(package): folder names below a holder folder of which most files, in several repositories, are proven (file_id) copies."""
+    held = _held(read.where("size > 0")).join(proven.select("file_id").distinct().withColumn("proof", F.lit(True)), "file_id", "left")
+    home = F.when(F.col("proof"), F.col("repo"))
+    least = F.count("proof") * 2 >= F.count(F.lit(1))
+    return held.groupBy("package").agg(F.min(home).alias("a"), F.max(home).alias("b"), least.alias("most")).where("most and a != b").select("package")
 
 
 def _held(read: DataFrame) -> DataFrame:
@@ -216,63 +217,80 @@ def not_hand_written(files: DataFrame, file_text: DataFrame, families: DataFrame
     Repositories count as unrelated, but for those that ``families`` (repo, family) puts together, as forks are: what
     only they share is no copy.
 
-    Shared leaves that make up at least half of a file, a package's folder, or a folder that hashes alike in several
-    repositories, with all below it, make it third-party. Files under
-    LEAST_BYTES, hand-written configuration, and text of another language are not judged. Empty tables give no rows.
+    Files and folders whose nodes hash alike in several repositories, with all below them, are third-party, and so are
+    files of which shared leaves make up at least half, and the files of a package that is proven so in several
+    repositories. Files under LEAST_BYTES, hand-written configuration, and text of another language are not judged.
+    Empty tables give no rows.
     """
     read = files_read(files, file_text).withColumn("home", F.col("repo"))
     if families is not None:
         kin = families.groupBy("repo").agg(F.min("family").alias("family"))
         read = read.join(kin, "repo", "left").withColumn("repo", F.coalesce("family", "repo")).drop("family")
     read = materialize(read, "read")
-    shared = materialize(shared_share(read.where("size > 0")), "shared")
-    own = read.where("why is not null").select("file_id", "why")
+    shared = shared_share(read.where("size > 0"))
     copied = read.select("file_id", "size").join(shared, "file_id").where(F.col("shared") >= SHARED * F.col("size"))
-    known = packages(read, shared)
+    copied = materialize(copied.select("file_id").unionByName(below_shared(read)).distinct(), "copied")
+    own = read.where("why is not null").select("file_id", "why")
+    known = packages(read, copied.unionByName(own.where("why = 'third-party'").select("file_id")))
     held = _held(read).where("size > 0").join(known, "package", "left_semi")
-    third = copied.select("file_id").unionByName(held.select("file_id")).unionByName(below_shared(read)).withColumn("why", F.lit("third-party"))
+    third = copied.unionByName(held.select("file_id")).withColumn("why", F.lit("third-party"))
     return own.unionByName(third).groupBy("file_id").agg(F.min("why").alias("why"))
 
 
 def folder_nodes(read: DataFrame) -> DataFrame:
     """(home, repo, path, hash, n): the folders of each repository ``home`` with their hashes and numbers of files.
 
-    Hashes go bottom-up, one level of folders per round: a folder's hash is made of the sums over its children's
-    names and hashes, so children are added up map side in any order.
+    Hashes go bottom-up, one level of folders per round: a folder's hash is made of its children's hashes in no order,
+    added up map side. Names are left out, so a renamed copy is alike too.
     """
-    node = read.where("node is not null").groupBy("home", "path").agg(F.min("repo").alias("repo"), F.min("node").alias("hash"))
-    node = node.select("home", "repo", "path", "hash", F.lit(1).cast("long").alias("n"), (F.size(F.split("path", "/")) - 1).alias("depth"))
-    node = materialize(node, "nodes")
+    node = file_nodes(read)
     deepest = node.agg(F.max("depth")).first()[0] or 0
     folders, below = None, None
     for depth in range(deepest, 0, -1):
         level = node.where(F.col("depth") == depth).drop("depth")
         level = level if below is None else level.unionByName(below)
-        child = F.xxhash64(F.regexp_extract("path", r"([^/]+)$", 1), "hash")
-        up = level.groupBy("home", "repo", F.regexp_replace("path", r"/[^/]+$", "").alias("path")).agg(F.bit_xor(child).alias("x"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-        below = materialize(up.select("home", "repo", "path", F.xxhash64("x", "k").alias("hash"), "n"), f"level{depth}")
+        child = F.xxhash64("hash")
+        sums = [F.bit_xor(child).alias("x"), F.try_sum(F.shiftright(child, 20)).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")]
+        up = level.groupBy("home", "repo", F.regexp_replace("path", r"(?:^|/)[^/]+$", "").alias("path")).agg(*sums).where("path != ''")
+        below = materialize(up.select("home", "repo", "path", F.xxhash64("x", "s", "k").alias("hash"), "n"), f"level{depth}")
         folders = below if folders is None else folders.unionByName(below)
     return node.drop("depth").limit(0) if folders is None else folders
 
 
+def file_nodes(read: DataFrame) -> DataFrame:
+    """(home, repo, path, hash, n, depth): the files that have definitions, as nodes above these."""
+    node = read.where("node is not null").groupBy("home", "path").agg(F.min("repo").alias("repo"), F.min("node").alias("hash"))
+    node = node.select("home", "repo", "path", "hash", F.lit(1).cast("long").alias("n"), (F.size(F.split("path", "/")) - 1).alias("depth"))
+    return materialize(node, "nodes")
+
+
+def alike(nodes: DataFrame) -> DataFrame:
+    """(hash): nodes that hash alike in unrelated repositories. Each task sends one row per hash."""
+    return nodes.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a != b").select("hash")
+
+
 def below_shared(read: DataFrame) -> DataFrame:
-    """(file_id): files of LEAST_BYTES and more below a folder of several files that hashes alike in unrelated repositories."""
+    """(file_id): files of LEAST_BYTES and more that hash alike in unrelated repositories, or lie below a folder of several files that does."""
+    judged = read.where("judged and node is not null")
+    files = judged.select("file_id", "repo", F.col("node").alias("hash"))
+    same = lookup_join(files, alike(files), ["hash"], "left_semi").select("file_id")
     folders = folder_nodes(read).where("n > 1")
-    many = folders.groupBy("hash").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a != b").select("hash")
-    alike = lookup_join(folders.select("home", "path", "hash"), many, ["hash"], "left_semi").select("home", F.col("path").alias("folder"))
+    whole = lookup_join(folders.select("home", "path", "hash"), alike(folders), ["hash"], "left_semi").select("home", F.col("path").alias("folder"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    inside = read.where("judged and node is not null and path like '%/%'").select("file_id", "home", F.explode(above).alias("folder"))
-    return lookup_join(inside, alike, ["home", "folder"], "left_semi").select("file_id").distinct()
+    inside = judged.where("path like '%/%'").select("file_id", "home", F.explode(above).alias("folder"))
+    return same.unionByName(lookup_join(inside, whole, ["home", "folder"], "left_semi").select("file_id")).distinct()
 
 
 def shared_subtrees(files: DataFrame, file_text: DataFrame) -> DataFrame:
-    """(hash, folders, repositories, files): folders whose whole content hashes alike in several repositories.
+    """(hash, level, nodes, repositories, files, example): subtrees that hash alike in several repositories.
 
-    Only folders of two files and more count.
+    A file of LEAST_BYTES and more is a subtree of definitions; folders of two files and more count.
     """
-    folders = folder_nodes(files_read(files, file_text).withColumn("home", F.col("repo")))
-    alike = folders.where("n > 1").groupBy("hash").agg(
-        F.count(F.lit(1)).alias("folders"), F.count_distinct("repo").alias("repositories"), F.max("n").alias("files"), F.min("path").alias("example")
+    read = materialize(files_read(files, file_text).withColumn("home", F.col("repo")), "read")
+    single = read.where("judged and node is not null").select("repo", "path", F.col("node").alias("hash"), F.lit(1).cast("long").alias("n"), F.lit("file").alias("level"))
+    nodes = single.unionByName(folder_nodes(read).where("n > 1").select("repo", "path", "hash", "n", F.lit("folder").alias("level")))
+    found = nodes.groupBy("level", "hash").agg(
+        F.count(F.lit(1)).alias("nodes"), F.min("repo").alias("a"), F.max("repo").alias("b"), F.count_distinct("repo").alias("repositories"), F.max("n").alias("files"), F.min("path").alias("example")
     )
-    return alike.where("repositories > 1")
+    return found.where("a != b").drop("a", "b")
