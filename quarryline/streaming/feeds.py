@@ -29,9 +29,7 @@ def folded(stream: DataFrame, key: str, revision: str, seq: str, op: str, fields
 
 def state_of(spark: SparkSession, into: str, key: str, fields: list[str]) -> DataFrame:
     """Present state from the patches below ``into``: (key, revision, *fields), without deleted records."""
-    patches = spark.read.parquet(into)
-    state = patches.groupBy("_key").agg(F.max("_patch").alias("p")).where("not p.gone")
-    return state.select(F.col("_key").alias(key), F.col("p.revision").alias("revision"), *[F.col(f"p.f{i}").alias(f) for i, f in enumerate(fields)])
+    return changefeed.applied(changefeed.composed(spark.read.parquet(into), "_key"), key, "revision", fields)
 
 
 def streamed_state(spark: SparkSession, path: str, key: str, revision: str, seq: str, op: str, fields: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:

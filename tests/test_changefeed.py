@@ -49,6 +49,41 @@ def test_base_and_empty(spark):
     assert rows(changefeed.apply_feed(feed, base=base)) == [("a", 3, "new"), ("c", 1, "new")]
 
 
+def fold(feed):
+    """Deliveries one after another, in order."""
+    state = {}
+    for seq, op, key, rev, a, b in sorted(set(feed), key=lambda x: (x[3], x[0])):
+        if op == "delete":
+            state.pop(key, None)
+        elif op == "insert":
+            state[key] = (rev, a, b)
+        else:
+            _, x, y = state.get(key, (0, None, None))
+            state[key] = (rev, x if a is None else a, y if b is None else b)
+    return sorted(((k, *v) for k, v in state.items()), key=str)
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 1 << 20])
+def test_partial_updates_compose(spark, chunk):
+    rng = random.Random(chunk)
+    feed = [
+        (s, rng.choice(["insert", "update", "update", "update", "delete"]), rng.choice(["hot", "hot", "k1", "k2", "k3"]), rng.randrange(1, 12), rng.choice([None, "a", "b"]), rng.choice([None, "x", "y"]))
+        for s in range(1, 120)
+    ]
+    rng.shuffle(feed)
+    df = spark.createDataFrame(feed + feed[:30], "feed_seq long, op string, record_id string, revision int, status string, kind string").repartition(4)
+    assert rows(changefeed.apply_feed(df, fields=("status", "kind"), chunk_rows=chunk, partial=True)) == fold(feed)
+
+
+def test_composition_is_associative(spark):
+    feed = [(s, "update" if s % 3 else "insert", "k", s % 5, None if s % 2 else f"v{s}", "") for s in range(12)]
+    p = changefeed.patches(spark.createDataFrame(feed, SCHEMA), "record_id", "revision", "feed_seq", "op", ["status"], partial=True)
+    whole = rows(changefeed.composed(p, "_key"))
+    for cut in (1, 4, 9):
+        left, right = changefeed.composed(p.where(f"_seq < {cut}"), "_key"), changefeed.composed(p.where(f"_seq >= {cut}"), "_key")
+        assert rows(changefeed.composed(right.unionByName(left), "_key")) == whole
+
+
 def test_stream_gives_the_batch_state(spark, tmp_path):
     feed = [(k, "update" if k % 5 else "delete", f"r{k % 7}", k % 11, f"s{k}", "") for k in range(60)]
     path = str(tmp_path / "feed.parquet")
