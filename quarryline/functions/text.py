@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 # Forms of secrets, in the order in which they are replaced.
 REDACTIONS = (
     r"sk-or-v1-[A-Za-z0-9]{16,}",
-    r"sk-[A-Za-z0-9]{20,}",
+    r"sk-[A-Za-z0-9]{16,}",
     r"AKIA[0-9A-Z]{16}",
     r"gh[pousr]_[A-Za-z0-9]{20,}",
-    r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
-    r"(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*['\"]?[A-Za-z0-9_\-./+]{8,}['\"]?",
+    r"(?i)\b(api[_-]?key|secret|token|password|bearer)\b\s*[:=]\s*['\"]?[A-Za-z0-9_\-/+=]{8,}['\"]?",
 )
 MASK = "[REDACTED]"
 # Languages by extension.
@@ -97,6 +97,19 @@ def matches_globs(path: Column | str, include: list[str], exclude: list[str]) ->
     return any_of(include) & ~any_of(exclude)
 
 
+def snippet(content: Column | str, first: Column | str, last: Column | str, most: int = 200) -> Column:
+    """Lines of a text from the first to the last, no more than ``most``; a cut one says so in a line of its own."""
+    n = _col(last) - _col(first) + 1
+    lines = F.slice(F.split(_col(content), "\n"), F.greatest(_col(first), F.lit(1)), F.greatest(F.least(n, F.lit(most)), F.lit(0)))
+    return F.concat(F.array_join(lines, "\n"), F.when(n > most, F.lit("\n... (truncated)")).otherwise(""))
+
+
+def holds(c: Column | str, part: str) -> Column:
+    """Whether the text holds ``part``, with the letters A to Z alike in both cases and all others as they are."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.contains(F.translate(_col(c), upper, lower), F.lit(part.translate(str.maketrans(upper, lower))))
+
+
 def patch_paths(c: Column | str) -> Column:
     """Distinct paths that a patch text names (added, updated, deleted, moved to, or of a unified diff)."""
     named = F.regexp_extract_all(_col(c), F.lit(r"(?m)^\*\*\* (?:(?:Add|Update|Delete) File|Move to): (.+?)\s*$"), F.lit(1))

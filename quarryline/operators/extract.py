@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from quarryline.common import norm_path
 from quarryline.functions.text import language_of, symbol_id
+from quarryline.operators import references
 
 SYMBOLS = "file_id long, repo string, path string, status string, name string, qualified_name string, kind string, signature string, start_line int, end_line int"
 #: Ways in which a module may be a file, in the order in which they are tried.
 PYTHON_ENDS = (".py", "/__init__.py")
 SCRIPT_ENDS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.js")
+_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([\w.]+))", re.M)
 _DEFINED = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+([A-Za-z_]\w*)", re.M)
 
 
@@ -123,19 +125,32 @@ def script_symbols(texts: DataFrame) -> DataFrame:
 
 
 def script_imports(texts: DataFrame) -> DataFrame:
-    """(file_id, repo, path, module): modules that JavaScript and TypeScript files import, once for each place."""
-    rx = r"""(?m)^\s*(?:import|export)\s[^'"\n;]*?['"]([^'"\n]+)['"]|\brequire\(\s*['"]([^'"\n]+)['"]\s*\)"""
+    """(file_id, repo, path, module): modules that JavaScript and TypeScript files import, once for each place.
+
+    An import or export may go over several lines; strings elsewhere are none.
+    """
+    rx = (
+        r"""(?m)^[ \t]*(?:import\s+(?:(?:type\s+)?[\w$*{}\s,]+?\sfrom\s*|(?:type\s*)?\{[^}'"]*\}\s*from\s*)?|export\s+(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{[^}'"]*\})\s*from\s*)"""
+        r"""['"]([^'"\n]+)['"]|\brequire\(\s*['"]([^'"\n]+)['"]\s*\)"""
+    )
     scripts = texts.where(language_of("path").isin("javascript", "typescript"))
     named = F.concat(F.regexp_extract_all("content", F.lit(rx), F.lit(1)), F.regexp_extract_all("content", F.lit(rx), F.lit(2)))
     return scripts.select("file_id", "repo", "path", F.explode(F.filter(named, lambda x: x != "")).alias("module"))
 
 
 def python_imports(texts: DataFrame) -> DataFrame:
-    """(file_id, repo, path, module): modules that Python files import (not the names taken from them)."""
-    rx = r"(?m)^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([\w.]+))"
-    named = F.concat(F.regexp_extract_all("content", F.lit(rx), F.lit(1)), F.regexp_extract_all("content", F.lit(rx), F.lit(2)))
-    scripts = texts.where(language_of("path") == "python")
-    return scripts.select("file_id", "repo", "path", F.explode(F.filter(named, lambda x: x != "")).alias("module"))
+    """(file_id, repo, path, module): modules that Python files import (not the names taken from them), once for each place.
+
+    Files that don't parse give the imports that begin their lines.
+    """
+
+    def modules(_: str, t: str) -> list[tuple]:
+        found = references.python_modules(t)
+        if not found and references.parses(t):
+            return []
+        return [(m,) for m, _ in found] or [(m.group(1) or m.group(2),) for m in _IMPORT.finditer(t)]
+
+    return references.each_file(texts.where(language_of("path") == "python"), modules, "module string")
 
 
 def collapsed(path: Column) -> Column:

@@ -9,22 +9,30 @@ from quarryline.common import materialize, norm_path
 from quarryline.functions.text import scope_id, title_name
 
 
-def file_links(edges: DataFrame, types: tuple[str, ...] = ("imports", "calls", "extends", "implements")) -> DataFrame:
-    """(repo, a, b): pairs of files with an edge between them, each once, a < b; files linked to themselves fall away."""
+def file_links(edges: DataFrame, types: tuple[str, ...] = ("imports", "calls", "extends", "implements"), without: DataFrame | None = None) -> DataFrame:
+    """(repo, a, b): pairs of files with an edge between them, each once, a < b; files linked to themselves fall away.
+
+    Links of files in ``without`` (repo, path), as those of locked scopes, are left out.
+    """
     e = edges.where(F.col("edge_type").isin(*types)).select("repo", norm_path("source_file").alias("s"), norm_path("target_file").alias("t"))
     e = e.where("s is not null and t is not null and s != t")
-    return e.select("repo", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    pairs = e.select("repo", F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+    if without is not None:
+        for end in ("a", "b"):
+            pairs = pairs.join(without.select("repo", F.col("path").alias(end)), ["repo", end], "left_anti")
+    return pairs
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(repo, node, component): the least node of every node's connected component.
 
     Alternates large-star and small-star rounds (links are only ever replaced, so their number does not grow) until
-    nothing changes. Hubs are reduced map side to their least neighbour; every round is written to the shared folder.
+    nothing changes; links only ever move to lesser nodes, so that ends. Hubs are reduced map side to their least
+    neighbour, their joins are left to Spark's splitting of skewed partitions; rounds are written to the shared folder.
     """
     links = materialize(links, "links")
-    before = None
-    for k in range(most_rounds):
+    before, changed, k = None, True, 0
+    while changed:
         both = links.unionByName(links.select("repo", F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("repo", "a").agg(F.min("b").alias("m")).select("repo", "a", F.least("a", "m").alias("m"))
         large = both.join(low, ["repo", "a"]).where("b > a").select("repo", F.col("m").alias("a"), "b").where("a != b").distinct()
@@ -34,11 +42,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         links = materialize(small, f"links{k}")
         # distinct links: the same number with the same digests is the same set
         digest = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("repo", "a", "b")), F.sum(F.xxhash64("b", "a", "repo") % 1_000_003)).first()
-        if digest == before:
-            break
-        before = digest
-    else:
-        raise RuntimeError(f"not connected after {most_rounds} rounds")
+        before, changed, k = digest, digest != before, k + 1
     star = links.select("repo", F.col("b").alias("node"), F.col("a").alias("component"))
     return star.unionByName(links.select("repo", F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 
@@ -49,6 +53,24 @@ def folder_groups(files: DataFrame, least: int = 2) -> DataFrame:
     return rows.groupBy("repo", F.split("path", "/")[0].alias("folder")).agg(F.count(F.lit(1)).alias("files")).where(F.col("files") >= least)
 
 
+def component_suggestions(comps: DataFrame) -> DataFrame:
+    """(repo, component, files, id, name): a name for every component of two files and more, after the folder that holds them all.
+
+    The first and last path of a component share what all share. Identifiers that come twice are numbered.
+    """
+    span = comps.groupBy("repo", "component").agg(F.count(F.lit(1)).alias("files"), F.min("node").alias("low"), F.max("node").alias("high")).where("files >= 2")
+    low, high = F.split("low", "/"), F.split("high", "/")
+    same = F.transform(F.sequence(F.lit(1), F.greatest(F.size(low) - 1, F.lit(1))), lambda k: F.slice(low, F.lit(1), k) == F.slice(high, F.lit(1), k))
+    depth = F.when(F.size(low) > 1, F.size(F.filter(same, lambda x: x))).otherwise(0)
+    parent = F.array_join(F.slice(low, F.lit(1), depth), "/")
+    named = span.withColumn("label", F.when(parent != "", parent).otherwise(F.concat(F.lit("connected-"), "low")))
+    base = F.when(scope_id("label") != "", scope_id("label")).otherwise("connected-component")
+    n = F.row_number().over(Window.partitionBy("repo", "base").orderBy("low"))
+    rows = named.withColumn("base", base).withColumn("n", n)
+    ident = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n"))
+    return rows.select("repo", "component", "files", ident.alias("id"), title_name(F.translate("label", "-_", "  ")).alias("name"))
+
+
 def suggestions(groups: DataFrame) -> DataFrame:
     """(repo, folder, id, name): an identifier and a name for every group; groups with one identifier are numbered."""
     base = groups.select("repo", "folder", scope_id("folder").alias("base"), title_name("folder").alias("name"))

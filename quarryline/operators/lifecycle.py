@@ -10,10 +10,10 @@ from quarryline.operators import membership
 
 
 def import_evidence(edges: DataFrame, scopes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(repo, path, scopes, scope): files that import members of unlocked scopes, with the number of those scopes and the least."""
+    """(repo, path, scopes, scope): files that surely import members of unlocked scopes, with the number of those scopes and the least."""
     unlocked = membership.live(scopes).where("not coalesce(locked, false)")
     held = membership.scope_paths(unlocked, symbols).select("repo", F.col("path").alias("t"), "scope")
-    e = edges.where("edge_type = 'imports'").select("repo", norm_path("source_file").alias("path"), norm_path("target_file").alias("t"))
+    e = edges.where("edge_type = 'imports' and confidence = 1.0").select("repo", norm_path("source_file").alias("path"), norm_path("target_file").alias("t"))
     pairs = e.where("path is not null and t is not null").distinct().join(held, ["repo", "t"]).select("repo", "path", "scope").distinct()
     return pairs.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("scopes"), F.min("scope").alias("scope"))
 

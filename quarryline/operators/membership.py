@@ -50,9 +50,10 @@ def dangling(scopes: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFra
 
 def membership_hash(scopes: DataFrame) -> DataFrame:
     """(scope, digest): changes with any member, not with their order; the arrays lie in one row, nothing is gathered."""
-    part = lambda c, mark: F.array_join(F.transform(F.array_sort(F.array_distinct(F.coalesce(c, F.array()))), lambda x: F.concat(F.lit(mark), x)), "")
-    text = F.concat(part(F.filter("members.files", lambda x: x.isNotNull()), "|f:"), part(F.filter("members.symbols", lambda x: x.isNotNull()), "|s:"))
-    return live(scopes).select(cut("id").alias("scope"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    # A mark, a zero and a line end around each member, files before symbols.
+    lines = lambda c, mark: F.array_join(F.transform(F.array_sort(F.array_distinct(F.filter(c, lambda x: x.isNotNull()))), lambda x: F.concat(F.lit(f"{mark}\0"), x, F.lit("\n"))), "")
+    text = F.concat(F.coalesce(lines("members.files", "f"), F.lit("")), F.coalesce(lines("members.symbols", "s"), F.lit("")))
+    return live(scopes).select(cut("id").alias("scope"), F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("digest"))
 
 
 def edited(files: Column | str, add: Column | str, remove: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.common import norm_key, norm_path
-from quarryline.functions.text import has_phrase, token_estimate
+from quarryline.functions.text import has_phrase, holds, token_estimate
 from quarryline.operators import membership, revisions
 
 
@@ -40,7 +40,9 @@ def best(results: DataFrame, limit: int) -> DataFrame:
 
 
 def bound_constraints(cur: DataFrame, scopes: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
-    """(rid, severity, status): visible constraints that a change of files touches.
+    """(rid, severity, status, scopes, priority): visible constraints that a change of files touches, with all their scopes.
+
+    In order of ``priority`` and rid MUST comes first, and active before review_required before stale.
 
     ``changed`` is (repo, path). Evidence: a scope that holds the file, the file itself, a symbol in it, or a MUST of
     the repository that is bound to no scope. Without a change in the repository there are none.
@@ -57,7 +59,28 @@ def bound_constraints(cur: DataFrame, scopes: DataFrame, symbols: DataFrame, cha
     repos = changed.select("repo").distinct()
     everywhere = revisions.unscoped(shown).where("severity = 'MUST'").join(repos, "repo", "left_semi").select("rid")
     evidence = from_scope.unionByName(from_file).unionByName(from_symbol).unionByName(everywhere).distinct()
-    return shown.join(evidence, "rid", "left_semi").select("rid", "severity", "status")
+    scope_ids = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("scopes", F.array()), lambda x: F.trim(x)), lambda x: x != "")))
+    rank = F.when(F.col("status") == "active", 0).when(F.col("status") == "review_required", 1).otherwise(2)
+    priority = F.when(F.coalesce("severity", F.lit("")) == "MUST", 0).otherwise(3) + rank
+    return shown.join(evidence, "rid", "left_semi").select("rid", "severity", "status", F.array_join(scope_ids, ",").alias("scopes"), priority.alias("priority"))
+
+
+def symbol_search(
+    symbols: DataFrame, name: str | None = None, qualified_name: str | None = None, kind: str | None = None, path: str | None = None,
+    query: str | None = None, limit: int = 50,
+) -> DataFrame:
+    """(symbol, path, name, qualified_name, kind, start_line): present symbols that fit all that is given, in order of place.
+
+    Names and paths hold the text (A to Z in either case), the kind is equal, the names or signature hold the phrase.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    rows = membership.present_symbols(symbols)
+    for column, part in (("name", name), ("qualified_name", qualified_name), ("path", path)):
+        rows = rows if part is None else rows.where(holds(column, part))
+    rows = rows if kind is None else rows.where(F.col("kind") == kind)
+    rows = rows if query is None else rows.where(has_phrase("name", query) | has_phrase("qualified_name", query))
+    return rows.orderBy("repo", "path", "start_line", "symbol").limit(limit).select("symbol", "path", "name", "qualified_name", "kind", "start_line")
 
 
 def hard_start(cur: DataFrame) -> DataFrame:

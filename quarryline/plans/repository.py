@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.common import norm_path, table
+from quarryline.common import materialize, norm_path, table
 from quarryline.functions import text
-from quarryline.operators import extract, graph, indexing, lifecycle, membership, retrieval, revisions
+from quarryline.operators import extract, graph, indexing, lifecycle, membership, references, retrieval, revisions
 from quarryline.plans.general import _npath
 from quarryline.streaming import feeds
 
@@ -167,12 +167,28 @@ def phrase_search_documents(spark: SparkSession, base: str) -> DataFrame:
     return Tables(spark, base).documents.where(text.has_phrase("text", DOC_PHRASE)).select("doc_id")
 
 
-@query(f"""WITH {_MEMBERS} SELECT symbol, path, name, start_line FROM sy WHERE contains(lower(name), 'merge') AND kind = 'function' AND contains(lower(path), 'core')
+@query(f"""WITH {_MEMBERS} SELECT symbol, path, name, qualified_name, kind, start_line FROM sy WHERE contains(lower(name), 'merge') AND kind = 'function' AND contains(lower(path), 'core')
 ORDER BY repo, path, start_line, symbol LIMIT {TOP}""")
 def symbol_search_like(spark: SparkSession, base: str) -> DataFrame:
-    s = membership.present_symbols(Tables(spark, base).symbols).where("kind = 'function'")
-    s = s.where(F.contains(F.lower("name"), F.lit("merge")) & F.contains(F.lower("path"), F.lit("core")))
-    return s.orderBy("repo", "path", "start_line", "symbol").limit(TOP).select("symbol", "path", "name", "start_line")
+    return retrieval.symbol_search(Tables(spark, base).symbols, name="Merge", kind="function", path="core", limit=TOP)
+
+
+@query(f"""WITH {_MEMBERS} SELECT symbol, path, name, qualified_name, kind, start_line FROM sy
+WHERE (contains({_WORDS.format("name")}, ' merge ') OR contains({_WORDS.format("qualified_name")}, ' merge ')) ORDER BY repo, path, start_line, symbol LIMIT {TOP}""")
+def symbol_search_phrase(spark: SparkSession, base: str) -> DataFrame:
+    return retrieval.symbol_search(Tables(spark, base).symbols, query="merge", limit=TOP)
+
+
+@query(f"""WITH {_MEMBERS}, t AS (SELECT repo, path, string_split(content, chr(10)) ls FROM (SELECT file_id, min(repo) repo, min({_npath("path")}) path FROM files GROUP BY file_id) f JOIN file_text USING (file_id) WHERE content IS NOT NULL)
+SELECT y.symbol, y.repo, y.path, y.start_line, md5(array_to_string(list_slice(ls, greatest(start_line, 1), greatest(start_line, 1) + greatest(least(end_line - start_line + 1, 200), 0) - 1), chr(10))
+  || CASE WHEN end_line - start_line + 1 > 200 THEN chr(10) || '... (truncated)' ELSE '' END) AS digest
+FROM (SELECT DISTINCT symbol, repo, path, start_line, end_line FROM sy) y JOIN t ON t.repo = y.repo AND t.path = y.path""")
+def symbol_snippets(spark: SparkSession, base: str) -> DataFrame:
+    t = Tables(spark, base)
+    s = membership.present_symbols(t.symbols).select("symbol", "repo", "path", "start_line", "end_line").distinct()
+    listed = t.files.groupBy("file_id").agg(F.min("repo").alias("repo"), F.min(norm_path("path")).alias("path"))
+    texts = t.file_text.where("content is not null").join(listed, "file_id").select("repo", "path", "content")
+    return s.join(texts, ["repo", "path"]).select("symbol", "repo", "path", "start_line", F.md5(text.snippet("content", "start_line", "end_line")).alias("digest"))
 
 
 # ------------------------------------------------------------------ changes and freshness
@@ -222,10 +238,10 @@ def dangling_members(spark: SparkSession, base: str) -> DataFrame:
     return membership.dangling(t.scopes, t.files, t.symbols)
 
 
-_PART = "array_to_string(list_transform(list_sort(list_distinct(list_filter(coalesce({0}, []), lambda x: x IS NOT NULL))), lambda x: '{1}' || x), '')"
+_PART = "coalesce(array_to_string(list_transform(list_sort(list_distinct(list_filter({0}, lambda x: x IS NOT NULL))), lambda x: '{1}' || chr(0) || x || chr(10)), ''), '')"
 
 
-@query(f"""SELECT trim(id) AS scope, sha256(coalesce({_PART.format("members.files", "|f:")} || {_PART.format("members.symbols", "|s:")}, '')) AS digest FROM scopes WHERE removed_at IS NULL""")
+@query(f"""SELECT trim(id) AS scope, 'sha256:' || sha256({_PART.format("members.files", "f")} || {_PART.format("members.symbols", "s")}) AS digest FROM scopes WHERE removed_at IS NULL""")
 def membership_hash(spark: SparkSession, base: str) -> DataFrame:
     return membership.membership_hash(Tables(spark, base).scopes)
 
@@ -252,11 +268,13 @@ ev AS (SELECT rid FROM bind WHERE scope IN (SELECT scope FROM sp SEMI JOIN ch US
   UNION SELECT rid FROM (SELECT rid, repo, {_npath("f")} path FROM (SELECT rid, repo, unnest(files) f FROM c)) SEMI JOIN ch USING (repo, path)
   UNION SELECT rid FROM (SELECT rid, lower(trim(s)) symbol FROM (SELECT rid, unnest(symbols) s FROM c)) WHERE symbol IN (SELECT symbol FROM sy SEMI JOIN ch USING (repo, path))
   UNION SELECT rid FROM unscoped WHERE severity = 'MUST' AND repo IN (SELECT repo FROM ch))
-SELECT rid, severity, status FROM c WHERE rid IN (SELECT rid FROM ev)""")
+SELECT rid, severity, status, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT trim(u) x FROM (SELECT unnest(c.scopes) u)) WHERE x <> ''), '') AS scopes,
+  CAST(CASE WHEN severity = 'MUST' THEN 0 ELSE 3 END + CASE status WHEN 'active' THEN 0 WHEN 'review_required' THEN 1 ELSE 2 END AS INT) AS priority FROM c WHERE rid IN (SELECT rid FROM ev)""")
 def check_constraints(spark: SparkSession, base: str) -> DataFrame:
     t = Tables(spark, base)
-    changed = t.changes().where("change != 'unchanged'").select("repo", "path")
-    return retrieval.bound_constraints(t.current(), t.scopes, t.symbols, changed)
+    # both are read several times
+    changed = materialize(t.changes().where("change != 'unchanged'").select("repo", "path"), "changed")
+    return retrieval.bound_constraints(materialize(t.current().where("type = 'constraint'"), "current"), t.scopes, t.symbols, changed)
 
 
 @query(f"""WITH {_MEMBERS}, {_CHANGES} SELECT scope, count(*) AS changed FROM sp JOIN (SELECT repo, path FROM chg WHERE change <> 'unchanged') USING (repo, path) GROUP BY scope""")
@@ -297,7 +315,7 @@ def coverage_ratio(spark: SparkSession, base: str) -> DataFrame:
 _EVIDENCE = f"""
 fl AS (SELECT DISTINCT repo, {_npath("path")} path FROM files),
 held AS (SELECT sp.* FROM sp WHERE scope IN (SELECT trim(id) FROM scopes WHERE removed_at IS NULL AND NOT coalesce(locked, false))),
-im AS (SELECT DISTINCT repo, {_npath("source_file")} path, {_npath("target_file")} t FROM edges WHERE edge_type = 'imports'),
+im AS (SELECT DISTINCT repo, {_npath("source_file")} path, {_npath("target_file")} t FROM edges WHERE edge_type = 'imports' AND confidence = 1.0),
 ev AS (SELECT im.repo, im.path, count(DISTINCT held.scope) n, min(held.scope) scope FROM im JOIN held ON held.repo = im.repo AND held.path = im.t GROUP BY 1, 2),
 verdicts AS (SELECT f.repo, f.path, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'auto' ELSE 'ambiguous' END AS verdict, CASE WHEN n = 1 THEN ev.scope END AS scope
   FROM (SELECT * FROM fl ANTI JOIN sp USING (repo, path)) f LEFT JOIN ev USING (repo, path))
@@ -332,14 +350,34 @@ def stale_transitions(spark: SparkSession, base: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ code graph
-_LINKS = f"""e0 AS (SELECT DISTINCT repo, least(s, t) a, greatest(s, t) b FROM (SELECT repo, {_npath("source_file")} s, {_npath("target_file")} t FROM edges)
-WHERE s IS NOT NULL AND t IS NOT NULL AND s <> t)"""
+_LINKS = f"""lk AS (SELECT DISTINCT repo, path FROM (SELECT repo, path FROM mf WHERE locked UNION ALL SELECT ms.repo, sy.path FROM ms JOIN sy USING (symbol) WHERE ms.locked)),
+e0 AS (SELECT DISTINCT repo, least(s, t) a, greatest(s, t) b FROM (SELECT repo, {_npath("source_file")} s, {_npath("target_file")} t FROM edges
+  WHERE edge_type IN ('imports', 'calls', 'extends', 'implements')) x WHERE s IS NOT NULL AND t IS NOT NULL AND s <> t
+  AND NOT EXISTS (SELECT 1 FROM lk WHERE lk.repo = x.repo AND lk.path IN (s, t)))"""
+_COMPONENTS = f"""WITH RECURSIVE {_MEMBERS}, {_LINKS}, e AS (SELECT repo, a, b FROM e0 UNION SELECT repo, b, a FROM e0),
+r(repo, n, m) AS (SELECT repo, a, a FROM e UNION SELECT r.repo, r.n, e.b FROM r JOIN e ON r.repo = e.repo AND r.m = e.a),
+comps AS (SELECT repo, n AS node, min(m) AS component FROM r GROUP BY 1, 2)"""
 
 
-@query(f"""WITH RECURSIVE {_LINKS}, e AS (SELECT repo, a, b FROM e0 UNION SELECT repo, b, a FROM e0),
-r(repo, n, m) AS (SELECT repo, a, a FROM e UNION SELECT r.repo, r.n, e.b FROM r JOIN e ON r.repo = e.repo AND r.m = e.a) SELECT repo, n AS node, min(m) AS component FROM r GROUP BY 1, 2""")
+def _links(t: Tables) -> DataFrame:
+    locked = membership.live(t.scopes).where("locked")
+    return graph.file_links(t.edges, without=membership.scope_paths(locked, t.symbols).select("repo", "path").distinct())
+
+
+@query(f"{_COMPONENTS} SELECT repo, node, component FROM comps")
 def connected_components(spark: SparkSession, base: str) -> DataFrame:
-    return graph.components(graph.file_links(Tables(spark, base).edges))
+    return graph.components(_links(Tables(spark, base)))
+
+
+@query(f"""{_COMPONENTS}, c AS (SELECT repo, component, count(*) files, string_split(min(node), '/') low, string_split(max(node), '/') high FROM comps GROUP BY 1, 2 HAVING count(*) > 1),
+d AS (SELECT *, array_to_string(low[:len(list_filter(range(1, len(low)), lambda k: low[:k] = high[:k]))], '/') parent, array_to_string(low, '/') first_ FROM c),
+l AS (SELECT *, CASE WHEN parent <> '' THEN parent ELSE 'connected-' || first_ END label FROM d),
+b AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(label), '[^\\p{{L}}\\p{{N}}-]', '-', 'g'), '-'), ''), 'connected-component') base FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY repo, base ORDER BY first_) n FROM b)
+SELECT repo, component, files, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id,
+array_to_string(list_transform(regexp_extract_all(translate(label, '-_', '  '), '\\p{{L}}+|[^\\p{{L}}]+'), lambda p: upper(p[1]) || lower(p[2:])), '') AS name FROM n""")
+def component_suggestions(spark: SparkSession, base: str) -> DataFrame:
+    return graph.component_suggestions(graph.components(_links(Tables(spark, base))))
 
 
 @query(f"""SELECT repo, split_part(path, '/', 1) AS folder, count(*) AS files FROM (SELECT DISTINCT repo, {_npath("path")} path FROM files) WHERE path LIKE '%/%' GROUP BY 1, 2 HAVING count(*) >= 2""")
@@ -431,10 +469,17 @@ def json_field(spark: SparkSession, base: str) -> DataFrame:
     return Tables(spark, base).events.groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SECRET_FORMS = (
+    "sk-or-v1-[[:alnum:]]{16,}", "sk-[[:alnum:]]{16,}", "AKIA[0-9A-Z]{16}", "gh[pousr]_[[:alnum:]]{20,}", "eyJ[-_[:alnum:]]{10,}[.][-_[:alnum:]]{10,}[.][-_[:alnum:]]{10,}",
+    "(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
+    "(?i)\\b(?:api_key|api-key|apikey|secret|token|password|bearer)\\b[ \\t\\r\\n\\f\\v]*[:=][ \\t\\r\\n\\f\\v]*[\"'']?[-_/+=[:alnum:]]{8,}[\"'']?",
+)
+
+
 def _redact_sql() -> str:
     out = "text"
-    for p in text.REDACTIONS:
-        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '{text.MASK}', 'g')"
+    for p in _SECRET_FORMS:
+        out = f"regexp_replace({out}, '{p}', '[REDACTED]', 'g')"
     return f"SELECT doc_id, md5({out}) AS digest FROM documents"
 
 
@@ -514,7 +559,10 @@ def script_symbols(spark: SparkSession, base: str) -> DataFrame:
     return extract.script_symbols(_texts(spark, base)).select("file_id", "name", "kind", "start_line")
 
 
-_SCRIPT_RX = r"""(?m)^\s*(?:import|export)\s[^''"\n;]*?[''"]([^''"\n]+)[''"]|\brequire\(\s*[''"]([^''"\n]+)[''"]\s*\)"""
+_SCRIPT_RX = (
+    r"""(?m)^[ \t]*(?:import\s+(?:(?:type\s+)?[\w$*{}\s,]+?\sfrom\s*|(?:type\s*)?\{[^}''"]*\}\s*from\s*)?|export\s+(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{[^}''"]*\})\s*from\s*)"""
+    r"""[''"]([^''"\n]+)[''"]|\brequire\(\s*[''"]([^''"\n]+)[''"]\s*\)"""
+)
 
 
 @query(f"""WITH {_LISTED}, x AS (SELECT file_id, unnest(regexp_extract_all(content, '{_SCRIPT_RX}', 1) || regexp_extract_all(content, '{_SCRIPT_RX}', 2)) module FROM lt
@@ -523,15 +571,21 @@ def import_extract(spark: SparkSession, base: str) -> DataFrame:
     return extract.script_imports(_texts(spark, base)).select("file_id", "module")
 
 
-_PYTHON_RX = r"(?m)^[ \t]*(?:from[ \t]+([.\w]+)[ \t]+import\b|import[ \t]+([\w.]+))"
-
-
-@query(f"""WITH {_LISTED}, x AS (SELECT file_id, unnest(regexp_extract_all(content, '{_PYTHON_RX}', 1) || regexp_extract_all(content, '{_PYTHON_RX}', 2)) module FROM lt
-WHERE lower(path) LIKE '%.py') SELECT file_id, module FROM x WHERE module <> ''""")
+@query(None)
 def python_import_extract(spark: SparkSession, base: str) -> DataFrame:
     return extract.python_imports(_texts(spark, base)).select("file_id", "module")
 
 
+@query(None)
+def code_references(spark: SparkSession, base: str) -> DataFrame:
+    return references.code_references(_texts(spark, base)).select("file_id", "kind", "name", "line")
+
+
+@query(None)
+def class_members(spark: SparkSession, base: str) -> DataFrame:
+    return references.class_members(_texts(spark, base)).select("file_id", "qualified_name", "signature", "start_line", "end_line")
+
+
 @query(None)
 def import_resolution(spark: SparkSession, base: str) -> DataFrame:
     texts = _texts(spark, base)
