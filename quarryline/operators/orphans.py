@@ -104,7 +104,7 @@ def cascade(refs: DataFrame, leaves: tuple[str, ...] = ()) -> DataFrame:
     folder, and read back as one table, so that no plan grows. Of hot records only the key is sent, their references
     are never shuffled. Null keys refer to nothing; a reference that is there several times is one.
     """
-    refs = materialize(refs.where("src_key is not null and ref is not null").distinct(), "references")
+    refs = materialize(refs.where("src_key is not null and ref is not null"), "judged")
     shown = ["src", "src_key", "field", "ref", "t", "reason"]
     spark = refs.sparkSession
     home = new_folder(spark)
@@ -127,9 +127,8 @@ def cascade(refs: DataFrame, leaves: tuple[str, ...] = ()) -> DataFrame:
         write(new.join(known, ["parent", "ref"], "left_anti"), f"{home}/records/depth={depth}")
         last = levels.parquet(f"{home}/records/depth={depth}").drop("depth")
     direct = found.select(*shown, F.lit(0).alias("depth"))
-    if not depth:
-        return direct
-    return direct.unionByName(spark.read.schema(f"{schema}, depth int").parquet(inherited))
+    found = direct if not depth else direct.unionByName(spark.read.schema(f"{schema}, depth int").parquet(inherited))
+    return found.distinct()
 
 
 def orphan_references(
@@ -140,7 +139,8 @@ def orphan_references(
     Rows with null keys, empty lists and empty tables give no cases (an empty target table makes all its references
     missing). Inherited ones have no reason of their own.
     """
-    refs = references(edges, memory, symbols, scopes)
+    # read by all joins below
+    refs = materialize(references(edges, memory, symbols, scopes), "references")
     cases = cascade(judged_references(refs, symbols, scopes, files, files_snap), ("edges", "memory_rev"))
     return cases.withColumn("period", F.date_format("t", "yyyy-MM")).select(*FOUND, "depth").distinct()
 
