@@ -92,6 +92,13 @@ def test_components_against_union_find(spark):
     assert rows(graph.components(graph.file_links(df.limit(0)))) == []
 
 
+def test_locked_files_link_nothing(spark):
+    df = spark.createDataFrame([("r", "calls", "a", "b"), ("r", "calls", "b", "c"), ("r", "imports", "c", "d"), ("q", "calls", "a", "b")], "repo string, edge_type string, source_file string, target_file string")
+    locked = spark.createDataFrame([("r", "b")], "repo string, path string")
+    got = rows(graph.components(graph.file_links(df, without=locked)), "repo", "node", "component")
+    assert got == [("q", "a", "a"), ("q", "b", "a"), ("r", "c", "c"), ("r", "d", "c")]
+
+
 def test_changes_and_blind_paths(spark):
     now = spark.createDataFrame([("r", "a", "1"), ("r", "b", "2"), ("r", "n", "3")], "repo string, path string, hash string")
     old = spark.createDataFrame([("r", "a", "1"), ("r", "b", "9"), ("r", "gone", "4"), ("r", "blind", "5")], "repo string, path string, hash string")
@@ -121,7 +128,8 @@ def test_assignment_by_imports(spark):
     )
     symbols = spark.createDataFrame([("sym", "r", "own.py", "f", "f", "function", 1, 5, None)], SYMBOLS)
     edges = [("one.py", "a.py"), ("two.py", "a.py"), ("two.py", "./b.py"), ("locked.py", "c.py"), ("old.py", "d.py"), ("self.py", "own.py"), ("none.py", None)]
-    e = spark.createDataFrame([("r", "imports", s, t) for s, t in edges], "repo string, edge_type string, source_file string, target_file string")
+    sure = [("r", "imports", s, t, 1.0) for s, t in edges] + [("r", "imports", "one.py", "b.py", 0.6)]  # a guess is no evidence
+    e = spark.createDataFrame(sure, "repo string, edge_type string, source_file string, target_file string, confidence double")
     files = spark.createDataFrame([("r", p) for p in ("a.py", "own.py", *{s for s, _ in edges})], "repo string, path string")
     got = lifecycle.assignments(files, e, scopes, symbols)
     assert rows(got, "path", "verdict", "scope") == [
