@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.common import norm_path
+from quarryline.common import materialize, norm_path
 from quarryline.functions.text import language_of, symbol_id
 from quarryline.operators import references
 
@@ -177,7 +177,8 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     is_python = language_of("path") == "python"
     base = collapsed(F.when(is_python, python).otherwise(script))
     ends = F.when(is_python, F.array(*map(F.lit, PYTHON_ENDS))).otherwise(F.array(*map(F.lit, SCRIPT_ENDS)))
-    rows = imports.withColumn("place", F.monotonically_increasing_id()).withColumn("base", base)
+    # read twice below; the files are gone through once
+    rows = materialize(imports.withColumn("base", base), "imports")
     tried = rows.where("base is not null").select("file_id", "repo", "base", F.posexplode(ends).alias("n", "end")).distinct()
     tried = tried.select("repo", "base", "n", F.concat("base", "end").alias("target")).distinct()
     listed = files.select("repo", norm_path("path").alias("target")).where("target is not null").distinct()
