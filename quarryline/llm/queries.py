@@ -72,12 +72,15 @@ def p8_items(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p9_kinds(spark: SparkSession, base: str) -> DataFrame:
-    """Documents made of links, tags, stuffed keywords or word salad, with the kind."""
+    """Documents made of links, tags, stuffed keywords (in phrases or mixed) or other word salad, with the kind."""
     return spam.spam_pages(table(spark, base, "documents"))
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
-    """Documents made to attract searches: keywords, links or tags in place of sentences (word salad attracts none)."""
+    """Documents made to attract searches: keywords, links or tags in place of sentences.
+
+    Word salad counts if its words are keywords that come back; the words of a passage in another order repeat nothing.
+    """
     return spam.spam_pages(table(spark, base, "documents"), salad=False).select("doc_id").distinct()
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from quarryline.llm import spam
+from quarryline.llm import queries, spam
 
 from ..conftest import rows
 
@@ -53,3 +53,23 @@ def test_intervals_hold_the_exact_value():
     args = (words[:-1], words[1:], spam._pairs(words))
     (a, b), (low, high) = exact.pmi(*args), part.pmi(*args)
     assert np.allclose(a, b) and (low <= a + 1e-9).all() and (high >= b - 1e-9).all()
+
+
+def test_mixed_keywords_are_found_and_mixed_passages_are_not(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    docs = [d for d in corpus() if d[0] < 500 and d[1]]
+    words = sorted({w for _, t in docs for w in t.lower().replace(".", "").split()})
+    page = lambda few, n: " ".join(rng.choice(few) for _ in range(n))
+    for k, few in enumerate((10, 20, 30)):
+        docs.append((700 + k, page(rng.sample(words, few), 150)))
+        docs.append((710 + k, docs[k][1][:200] + "\n" + page(rng.sample(words, few), 150)))
+        docs.append((720 + k, page([f"zu{a}{b}x" for a in "bdfgk" for b in "aeiou"][: few - 5], 150)))
+    passage = " ".join(t for _, t in docs[:4]).split()
+    docs += [(800, " ".join(rng.sample(passage, 90))), (801, " ".join(words))]
+    found = [(700 + 10 * a + k,) for a in range(3) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for few in (spam.FREQUENT_WORDS, 1, 30):
+        monkeypatch.setattr(spam, "FREQUENT_WORDS", few)
+        monkeypatch.setattr(spam, "FREQUENT_PAIRS", few)
+        assert rows(queries.p9_found(spark, str(tmp_path))) == found
+    assert {r.kind for r in queries.p9_kinds(spark, str(tmp_path)).where("doc_id >= 800").collect()} == {"salad"}
