@@ -182,11 +182,13 @@ class Counts:
 
     def keywords(self, words: np.ndarray, more: "Counts | None" = None) -> tuple[np.ndarray, np.ndarray]:
         """Which words of a text surely are, and which may be, its keywords: they come back, and their PMI with the text is high."""
-        _, which, own = np.unique(words, return_inverse=True, return_counts=True)
-        own = own[which]
-        least, most = (np.maximum(n, own) for n in self.between(words, self.rare_word, more))
-        needed = own / len(words) * self.n_words / np.exp(COLLOCATION_PMI)
-        return (own >= LEAST_TIMES) & (most <= needed), (own >= LEAST_TIMES) & (least <= needed)
+        each, which, own = np.unique(words, return_inverse=True, return_counts=True)
+        at = np.nonzero(own >= LEAST_TIMES)[0]
+        most_of_all = own[at] / len(words) * self.n_words / np.exp(COLLOCATION_PMI)
+        sure, may = np.zeros(len(each), dtype=bool), np.zeros(len(each), dtype=bool)
+        least, most = (np.maximum(n, own[at]) for n in self.between(each[at], self.rare_word, more))
+        sure[at], may[at] = most <= most_of_all, least <= most_of_all
+        return sure[which], may[which]
 
 
 def rare_below(n_words: int, n_pairs: int) -> tuple[int, int]:
@@ -286,7 +288,7 @@ class Text:
         if self.repetition(self.parts[0], together) > REPEATED or (self.listed > SHARE * self.size and self.repetition(self.parts[1], together) > REPEATED_LIST):
             return "keywords"
         salad_asked = self.salad_asked and joined.any() and pmi[joined].mean() < MIXED_PMI
-        if salad_asked or keyword.any():
+        if salad_asked or keyword.sum() > SHARE * SALAD_PAIRS:
             # lines whose neighbours hardly ever stand side by side anywhere, and lines of keywords
             salad = mixed = stuffed = 0
             of = np.zeros(len(self.hashes), dtype=bool)
@@ -312,16 +314,16 @@ class Text:
                 return "salad"
         return None
 
-    def judged(self, counts: Counts, more: Counts | None = None) -> tuple[str | None, bool]:
+    def judged(self, counts: Counts, more: Counts | None = None, often: bool = True) -> tuple[str | None, bool]:
         """The kind, and whether it is certain: it is if the least and the greatest PMI give the same.
 
         More PMI can only make keywords of a text and only spare it from being salad, so all PMI between give it too. What
-        asks for the single keywords is certain only if these are.
+        asks for the single keywords is certain only if these are; there are none to ask for where nothing comes back (``often``).
         """
         if len(self.hashes) < 2:
             return self.kind(np.zeros(0), np.zeros(0, dtype=bool), lambda: np.zeros(0)), True
         low, high = self.pmi(counts, more)
-        sure, may = counts.keywords(self.hashes, more)
+        sure, may = counts.keywords(self.hashes, more) if often else (np.zeros(len(self.hashes), dtype=bool),) * 2
         kinds = [self.kind(p, sure, lambda k=k: self.pmi(counts, more, self.own(np.ones(len(self.hashes), dtype=bool))[1])[k]) for k, p in enumerate((low, high))]
         return kinds[0], kinds[0] == kinds[1] and (kinds[0] in ("links", "tags", "keywords") or bool((sure == may).all()))
 
@@ -357,7 +359,7 @@ def spam_pages(docs: DataFrame, salad: bool = True) -> DataFrame:
                 if not (salad or often or listed_form(t)):
                     continue
                 text = Text(t, codes, salad)
-                kind, sure = text.judged(sent.value)
+                kind, sure = text.judged(sent.value, often=often)
                 if kind or not sure:
                     ids.append(d)
                     kinds.append(kind if sure else None)
